@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .ann import op8_nearest
 from .decontamination import OP9_SQL, op9_decontamination
+from .language import op3_language_id, op3_language_id_pages
 from .mixing import OP1_SQL, op1_mixing
 from .secrets import op10_secrets
 from .sharding import op5_sharding
@@ -11,7 +13,10 @@ from .simhash import op2_simhash
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_language_id": op3_language_id,
+    "op3_language_id_pages": op3_language_id_pages,
     "op5_sharding": op5_sharding,
+    "op8_nearest": op8_nearest,
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
 }
