@@ -6,6 +6,8 @@ from .ann import op8_nearest
 from .decontamination import OP9_SQL, op9_decontamination
 from .language import op3_language_id, op3_language_id_pages
 from .mixing import OP1_SQL, op1_mixing
+from .passages import op7_passages
+from .pii import op4_personal_data
 from .secrets import op10_secrets
 from .sharding import op5_sharding
 from .simhash import op2_simhash
@@ -15,7 +17,9 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
     "op3_language_id_pages": op3_language_id_pages,
+    "op4_personal_data": op4_personal_data,
     "op5_sharding": op5_sharding,
+    "op7_passages": op7_passages,
     "op8_nearest": op8_nearest,
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
