@@ -111,6 +111,9 @@ def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = found.where(F.size("near") > 0).select("t1", "t2", F.explode("near").alias("p")).select("t1", "t2", "p.entity", "p.term")
     texts = pairs.groupBy("term", "entity", "t1", "t2").agg(F.count("*").alias("docs"))
     together = texts.groupBy("term", "entity").agg(F.count("*").alias("texts"), F.sum("docs").alias("docs")).where(F.col("texts") >= MIN_TEXTS)
+    # A term by several values of its own documents cannot name one of them often enough, however often it occurs elsewhere.
+    beside = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda p: p["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("beside"))
+    together = together.join(beside, "term").where(F.col("docs") >= DISCLOSURE * F.col("beside")).drop("beside")
     together = stored(together, "pii-together")
     candidates = stored(together.select("term").distinct(), "pii-candidates")
     words = docs.select(F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term"))
