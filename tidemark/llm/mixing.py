@@ -58,7 +58,7 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     slots = slots.withColumn("cell", F.shiftright("x", CELL_BITS))
     cells = t.select("source", "quota", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS))).alias("cell"))
     dealt = slots.join(cells, "cell").where("x >= lo and x < hi").select("slot", "source", "quota")
-    dealt = numbered(dealt, ["source"], [F.col("slot")], F.shiftright("slot", 12), "block")
+    dealt = numbered(dealt, ["source"], [F.col("slot")], F.shiftright("slot", 6 if n < 1 << 20 else 12), "block")
     had = dealt.groupBy("source").agg(F.count("*").alias("had"))
     short = t.alias("t").join(had.alias("h"), F.col("t.source").eqNullSafe(F.col("h.source")), "left").select("t.source", "quota", F.coalesce("had", F.lit(0)).alias("had")).where("had < quota")
     tail = short.select("source", F.explode(F.sequence(F.col("had").cast("long"), F.col("quota") - 1)).alias("block"))
