@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -39,3 +39,11 @@ def session(master: str = "local[*]", partitions: int = 8, name: str = "tidemark
     }.items():
         builder = builder.config(key, str(value))
     return ship(builder.getOrCreate())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed and its lineage cut, in the shared folder of the session; a temporary one only where none is set, as on one machine."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
