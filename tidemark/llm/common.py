@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set (tests on one machine)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="tidemark-"))
     return where.rstrip("/")
 
 
@@ -171,5 +175,5 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], bucket: Colum
     inside = F.sum(each).over(Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     left = df.withColumn("__inside", F.coalesce(inside, F.lit(0).cast("long"))).alias("l")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "__bucket"]]
-    out = left.join(sums.alias("r"), on=__import__("functools").reduce(lambda a, b: a & b, on))
+    out = left.join(sums.alias("r"), on=reduce(lambda a, b: a & b, on))
     return out.select("l.*", "r.__base").withColumn(as_name, F.col("__base") + F.col("__inside")).drop("__bucket", "__base", "__inside")

@@ -39,7 +39,7 @@ def entropy_spans(run: str, window: int = WINDOW, classes: Sequence = CLASSES) -
     The sum of c * log2(c) over the counts c is carried along: one character leaves a window and one enters.
     A window counts only with two digits and two letters, which keeps words of any language out.
     """
-    log = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    log = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # a character enters before one leaves
     found: list[tuple[int, int]] = []
     for _, pattern, least in classes:
         limit = (math.log2(window) - least) * window
