@@ -7,11 +7,13 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def chi_squared(a: Column, b: Column, c: Column, d: Column) -> Column:
+    a, b, c, d = (x.cast("double") for x in (a, b, c, d))  # products of four margins leave 64 bits early
     n, below = a + b + c + d, (a + b) * (c + d) * (a + c) * (b + d)
-    return F.when((n == 0) | (below == 0), 0.0).otherwise(n * (a * d - b * c) * (a * d - b * c) / below.cast("double"))
+    return F.when((n == 0) | (below == 0), 0.0).otherwise(n * (a * d - b * c) * (a * d - b * c) / below)
 
 
 def mutual_information(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:
@@ -42,7 +44,7 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when((b > 0) & (c > 0), a * d / (b * c).cast("double")).when(a * d > 0, float("inf")).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_value(chi: pd.Series) -> pd.Series:
     """Upper tail of the chi-squared distribution with one degree of freedom."""
     return chi.map(lambda x: math.erfc(math.sqrt(x / 2)) if pd.notna(x) else None)
@@ -57,7 +59,7 @@ def confidence(p: Column, v: Column, risk: Column, yes: Column, alpha: float = 0
     return F.when(yes, F.least(F.lit(1.0), 0.4 * sure + 0.3 * v + 0.3 * F.least(F.lit(1.0), risk / 3))).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided p of Fisher's exact test: the tables with these margins that are no likelier than this one."""
 
@@ -70,7 +72,7 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     return pd.Series([one(*map(int, x)) for x in zip(a, b, c, d)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def order_similarity(x: pd.Series, y: pd.Series) -> pd.Series:
     """Longest common subsequence of two arrays over the longer one."""
 

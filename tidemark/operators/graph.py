@@ -83,7 +83,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_hops: int, min_confidence: fl
 def causal_chain(starts: DataFrame, edges: DataFrame, max_hops: int = 2, min_confidence: float = 0.3) -> DataFrame:
     """(start, src, dst, relation, confidence, first_seen, times): edges at the reached nodes, as often as an endpoint is one (a loop twice)."""
     near = reach(starts, edges, max_hops, min_confidence).select("start", "node")
-    good = edges.where(F.col("confidence") >= min_confidence)
+    good = edges.where(F.col("confidence") >= min_confidence).select("src", "dst", "relation", "confidence", "first_seen")
     ends = good.select(F.col("src").alias("node"), "src", "dst").union(good.select("dst", "src", "dst"))
     times = near.join(ends, "node").groupBy("start", "src", "dst").agg(F.count("*").alias("times"))
     return times.join(good, ["src", "dst"]).select("start", "src", "dst", "relation", "confidence", "first_seen", "times")

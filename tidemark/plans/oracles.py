@@ -128,6 +128,24 @@ _REACH1 = """good AS (SELECT * FROM edges WHERE confidence >= {least}), starts A
         SELECT n.start, g.* FROM near n JOIN good g ON g.src = n.node UNION ALL SELECT n.start, g.* FROM near n JOIN good g ON g.dst = n.node) GROUP BY start, src, dst
 )"""
 
+_MEMORY = f"""mem AS (
+    SELECT cid AS id, list_reduce(list_prepend(6e-1, list((event_id % 3 <> 0)::INT::DOUBLE ORDER BY ts, event_id)), lambda c, o: CASE WHEN o = 1 THEN least(95e-2, c + 1e-1) ELSE greatest(1e-1, c * 8e-1) END) AS c,
+        count(*) FILTER (event_id % 3 <> 0) AS successes, count(*) FILTER (event_id % 3 = 0) AS failures FROM ops WHERE kind = 'remediation' GROUP BY cid
+), memory AS (SELECT id, round(c, 6) AS confidence, successes, failures FROM mem)"""
+
+# Roles of kinds and tokens as they occur in the test tables.
+_BEHAVIOUR = """CASE WHEN x LIKE '%timeout%' THEN 'TIMEOUT' WHEN x LIKE '%error%' THEN 'ERROR' WHEN x LIKE '%deploy%' THEN 'DEPLOY' WHEN x LIKE '%remediation%' THEN 'REMEDIATION' WHEN x LIKE '%trace%' THEN 'TRACE' WHEN x LIKE '%incident_signal%' THEN 'ALERT' ELSE 'OTHER' END"""
+
+_MOTIFS = f"""near AS (
+    SELECT a.event_id AS id, a.kind AS of_kind, a.cid, e.kind, e.token FROM ops a JOIN tok e ON e.cid = a.cid AND e.ts BETWEEN a.ts - 86400 AND a.ts WHERE a.kind IN ('remediation', 'incident_signal')
+), part AS (SELECT DISTINCT id, of_kind, cid, kind AS x, 'k' AS t FROM near UNION SELECT DISTINCT id, of_kind, cid, token, 't' FROM near), motif AS (
+    SELECT id, of_kind, cid, list(x) FILTER (t = 'k') AS kinds, list(x) FILTER (t = 't') AS toks, list(DISTINCT {_BEHAVIOUR}) AS roles FROM part GROUP BY ALL
+), stored AS (SELECT * FROM motif WHERE of_kind = 'remediation' ORDER BY id LIMIT 100), pair AS (
+    SELECT q.id AS signal_id, s.id AS motif_id, 6e-1 * (len(list_intersect(q.roles, s.roles)) / len(list_distinct(q.roles || s.roles))::DOUBLE)
+        + 4e-1 * (85e-2 * (q.cid = s.cid)::INT + 1e-1 * (len(list_intersect(q.kinds, s.kinds)) / len(list_distinct(q.kinds || s.kinds))::DOUBLE) + 5e-2 * (len(list_intersect(q.toks, s.toks)) / len(list_distinct(q.toks || s.toks))::DOUBLE)) AS score
+    FROM motif q, stored s WHERE q.of_kind = 'incident_signal'
+)"""
+
 _TWICE = _EDGES + ', twice AS (SELECT * FROM edges WHERE "count" >= 2)'
 
 ORACLES = {
@@ -160,7 +178,7 @@ ORACLES = {
     "q_edges_incident_log": f"WITH {_OPS}, {_LOGS}, {_rolled('SELECT * FROM log_obs')} {_EDGE_COLUMNS}",
     "q_edges": f"WITH {_EDGES} {_EDGE_COLUMNS}",
     "q_graph_stats": f"WITH {_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT round(sum(confidence) / count(*), 6) FROM edges) AS avg_confidence, (SELECT count(*) FROM ops WHERE kind = 'deploy') AS deploys, (SELECT count(*) FROM ops WHERE kind = 'remediation') AS remediations",
-    "q_causal_chain": f"WITH {_EDGES}, {_REACH1.format(least='3e-1')} SELECT start, CAST(sum(times) AS BIGINT) AS edges, round(sum(times * confidence) / sum(times), 6) AS confidence FROM chain GROUP BY start",
+    "q_causal_chain": f"WITH {_EDGES}, {_REACH1.format(least='3e-1')} SELECT start, CAST(sum(times) AS BIGINT) AS edges, round(sum(times * confidence) / sum(times) + 1e-9, 6) AS confidence FROM chain GROUP BY start",
     "q_graph_compare": f"""WITH {_TWICE}, {_REACH1.format(least='25e-2').replace('FROM edges', 'FROM twice')}, nodes AS (
         SELECT start, count(DISTINCT n) AS nodes FROM (SELECT start, src AS n FROM chain UNION ALL SELECT start, dst FROM chain UNION ALL SELECT start, start FROM starts) GROUP BY start
     ), one AS (SELECT n.start, nodes, count(c.src) AS edges, coalesce(list(DISTINCT c.relation) FILTER (c.relation IS NOT NULL), []) AS rel FROM nodes n LEFT JOIN chain c USING (start) GROUP BY ALL),
@@ -175,6 +193,12 @@ ORACLES = {
         SELECT start, start AS node FROM starts UNION SELECT start, dst FROM starts JOIN twice ON src = start UNION SELECT start, src FROM starts JOIN twice ON dst = start
     ), chain AS (SELECT DISTINCT start, src, dst, first_seen FROM near JOIN twice ON src = node OR dst = node), hit AS (SELECT src, dst, count(*) AS times FROM chain JOIN fix ON cid = start AND ts >= first_seen GROUP BY ALL)
     SELECT src, dst, coalesce(times, 0) AS times, round(least(95e-2, confidence + 5e-2 * coalesce(times, 0)), 6) AS confidence FROM twice LEFT JOIN hit USING (src, dst)""",
+    "q_motif_memory": f"WITH {_OPS}, {_MEMORY} SELECT * FROM memory",
+    "q_motif_stats": f"WITH {_OPS}, {_MEMORY} SELECT count(*) AS motifs, round(avg(confidence), 6) AS mean, min(confidence) AS least, max(confidence) AS most, count(*) FILTER (confidence >= 0.9) AS strong, count(*) FILTER (confidence < 0.15) AS weak FROM memory",
+    "q_motif_similarity": f"WITH {_OPS}, {_TOKENS}, {_MOTIFS} SELECT signal_id, motif_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY score DESC, motif_id) AS rank FROM pair) WHERE rank <= 5",
+    "q_fisher": f"""WITH {_OPS}, {_ABCD}, x AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM t), w AS (
+        SELECT kind, x = a AS own, lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) AS w FROM x)
+    SELECT kind, round(least(1e0, sum(exp(w)) FILTER (w <= o + 1e-7)), 6) AS p FROM w JOIN (SELECT kind, w AS o FROM w WHERE own) USING (kind) GROUP BY kind""",
     "q_smart_top5": _M + "SELECT signal_id, incident_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY CASE WHEN most >= 0.5 THEN 0 ELSE (f > 1)::INT END, similarity DESC, seq) AS rank FROM (SELECT *, max(similarity) OVER (PARTITION BY signal_id) AS most, row_number() OVER (PARTITION BY signal_id, tail ORDER BY similarity DESC, seq) AS f FROM m)) WHERE rank <= 5",
     "q_remediation_rank": _M + """, rate AS (SELECT action, avg((outcome = 'resolved')::INT) AS rate FROM m WHERE action <> '' GROUP BY action), f AS (
         SELECT *, row_number() OVER (PARTITION BY signal_id, action ORDER BY similarity DESC, seq) AS n FROM m WHERE action <> ''), g AS (

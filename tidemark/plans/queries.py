@@ -143,7 +143,7 @@ def q_graph_stats(spark, d):
 
 
 def q_causal_chain(spark, d):
-    return G.chain_confidence(G.causal_chain(_starts(spark, d), edges(spark, d), 1)).withColumn("confidence", F.round("confidence", 6))
+    return G.chain_confidence(G.causal_chain(_starts(spark, d), edges(spark, d), 1)).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))
 
 
 def q_root_causes(spark, d):
@@ -275,7 +275,7 @@ def q_assoc_decision(spark, d):
 
 
 def q_fisher(spark, d):
-    return contingency(spark, d).select("kind", S.fisher_exact(*_ABCD).alias("p"))
+    return contingency(spark, d).select("kind", F.round(S.fisher_exact(*_ABCD), 6).alias("p"))
 
 
 def q_order_similarity(spark, d):
