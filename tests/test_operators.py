@@ -235,3 +235,21 @@ def test_stream_equals_batch(spark, incident, tmp_path):
     got = state.stream_edges(spark, f"{tmp_path}/in", df.schema, f"{tmp_path}/state", f"{tmp_path}/check")
     cols = ["src", "dst", "relation", "count", "first_seen", "last_seen", "confidence"]
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, graph.roll_up(df).select(cols).collect()))
+
+
+def test_generators_and_explanations(spark):
+    assert E.throughput(spark, 100).agg(F.count_distinct("service"), F.max("ts")).first()[0] == 10
+    f = E.family_events(spark, 10)
+    assert f.count() == 40 and f.where("kind = 'incident_signal'").count() == 10
+    assert context.explained({"explanation": "t"}) == "t" and context.explained({"explanation": "t"}, lambda p: "deep") == "deep"
+    assert context.explained({"explanation": "t"}, lambda p: 1 / 0) == "t"
+
+
+def test_post_processing_and_records(spark):
+    m = matches(spark, [("INC-1-0", 0.9, "rollback", "resolved"), ("INC-2-1", 0.8, "rollback", "resolved")])
+    e = spark.createDataFrame([(1, "deploy")], "signal_id long, kind string")
+    assert retrieval.post_processed(m, retrieval.decoy_policy(e)).count() == 0
+    assert [r["similarity"] for r in retrieval.suppressed(m, retrieval.decoy_policy(e)).collect()] == [0.45, 0.45]
+    p = spark.createDataFrame([(1, 0, 0, 0.9, 1), (1, 0, 1, 0.5, 2)], "incident_id long, truth long, family long, similarity double, rank int")
+    d = evaluate.diagnostics(p).first()
+    assert d["outcome"] == "correct_rank1" and [x["family"] for x in d["predicted"]["ranked"]] == [0, 1]

@@ -62,3 +62,19 @@ def explanation(service, cid, anchor, related, root, root_confidence, best, simi
         F.when(best.isNotNull(), F.format_string("Matches past incident %s (sim=%.0f%%).", best, similarity * 100)),
         F.when(action.isNotNull(), F.format_string("Suggested remediation: %s (historical success rate: %.0f%%).", action, rate * 100)).otherwise("No remediation history."),
     )
+
+
+def explained(row: dict, ask=None, seconds: float = 6.0) -> str:
+    """The template text of a context row, or what `ask(prompt)` says of it within `seconds`; any failure falls back to the template."""
+    text = row["explanation"]
+    if ask is None:
+        return text
+    from concurrent.futures import ThreadPoolExecutor
+
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(ask, f"Explain this incident to the engineer on call.\n{text}").result(seconds) or text
+    except Exception:  # no answer, or none in time
+        return text
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)

@@ -102,3 +102,27 @@ def seed_variance(runs: DataFrame) -> DataFrame:
 
 def long_metrics(runs: DataFrame) -> DataFrame:
     return runs.unpivot(["seed", "run"], ["recall", "precision", "remediation", "p95"], "metric", "value")
+
+
+def diagnostics(p: DataFrame) -> DataFrame:
+    """One nested record for each incident: what was true, what was predicted in order, and how it came out."""
+    five = p.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("rank", "family", "similarity"))).alias("ranked"))
+    b = by_incident(p).join(five, "incident_id")
+    return b.select("incident_id", F.struct("truth", F.col("truth").isNull().alias("decoy")).alias("actual"), F.struct("first", "similarity", "ranked").alias("predicted"), "outcome")
+
+
+def overlap(expected: DataFrame, returned: DataFrame, by: str, item: str) -> DataFrame:
+    """(by, precision, recall, f1) of returned against expected items, as sets; 0 where one side is empty."""
+    e, r = expected.select(by, item).distinct(), returned.select(by, item).distinct()
+    both = e.withColumn("e", F.lit(1)).join(r.withColumn("r", F.lit(1)), [by, item], "full")
+    n = both.groupBy(by).agg(F.sum(F.col("e") * F.col("r")).alias("hit"), F.sum("e").alias("e"), F.sum("r").alias("r"))
+    hit = F.coalesce("hit", F.lit(0))
+    n = n.withColumn("precision", F.coalesce(hit / F.col("r"), F.lit(0.0))).withColumn("recall", F.coalesce(hit / F.col("e"), F.lit(0.0)))
+    total = F.col("precision") + F.col("recall")
+    return n.select(by, "precision", "recall", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0).alias("f1"))
+
+
+def improvement(runs: DataFrame, metric: str, old: str = "old", new: str = "new") -> DataFrame:
+    """(seed, percent) by which a metric grew from one run to the other; null from 0."""
+    a, b = (runs.where(F.col("run") == r).select("seed", F.col(metric).alias(name)) for r, name in ((old, "a"), (new, "b")))
+    return a.join(b, "seed").select("seed", F.round((F.col("b") - F.col("a")) / F.nullif(F.col("a"), F.lit(0.0)) * 100, 2).alias("percent"))

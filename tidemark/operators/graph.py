@@ -151,3 +151,17 @@ def reinforced(edges: DataFrame, resolved: DataFrame, max_hops: int = 2) -> Data
     hits = chain.join(by, "cid").where("ts >= first_seen").groupBy("src", "dst").agg(F.sum("n").alias("times"))
     out = edges.join(hits, ["src", "dst"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     return out.withColumn("confidence", F.least(F.lit(CAP), F.col("confidence") + F.lit(STEP) * F.col("times")))
+
+
+def confidence_histogram(edges: DataFrame, bins: int = 20) -> DataFrame:
+    """(relation, bin, n): edges by relation and by equal parts of [0, 1]; 1 itself belongs to the last."""
+    part = F.least(F.lit(bins), F.width_bucket("confidence", F.lit(0.0), F.lit(1.0), F.lit(bins)))
+    return edges.groupBy("relation", part.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def shown(edges: DataFrame, least: float = 0.0, relations: list[str] | None = None, reinforced_only: bool = False) -> DataFrame:
+    """Edges by confidence, relation and whether a fix has reinforced them (edges of reinforced())."""
+    out = edges.where(F.col("confidence") >= least)
+    if relations:
+        out = out.where(F.col("relation").isin(relations))
+    return out.where("times > 0") if reinforced_only else out

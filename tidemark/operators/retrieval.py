@@ -118,3 +118,22 @@ def action_posteriors(matches: DataFrame, least: int = 2) -> DataFrame:
     p = F.round(beta_posterior(F.col("successes"), F.col("total"), F.col("similarity")) + 1e-9, 6)
     g = g.where(F.col("total") >= least).withColumn("posterior", p).withColumn("similarity", F.round("similarity", 6))
     return g.withColumn("label", F.when(F.col("posterior") >= 0.6, "resolved").otherwise("uncertain"))
+
+
+def family_outcomes(matches: DataFrame) -> DataFrame:
+    """(family, total, rate, actions): how often a family was resolved, and its actions counted, as action=count in order of the name."""
+    m = matches.withColumn("family", family_of(F.col("incident_id")))
+    acts = m.where("action <> ''").groupBy("family", "action").agg(F.count("*").alias("n"))
+    acts = acts.groupBy("family").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "action", F.col("n").cast("string")))), ",").alias("actions"))
+    return m.groupBy("family").agg(F.count("*").alias("total"), F.round(F.avg((F.col("outcome") == "resolved").cast("double")), 6).alias("rate")).join(acts, "family", "left")
+
+
+def suppressed(matches: DataFrame, policy: DataFrame) -> DataFrame:
+    """matches of decoy signals with similarity capped, by decoy_policy(); a signal without a policy stays as it is."""
+    out = matches.join(policy.select("signal_id", "cap"), "signal_id", "left")
+    return out.withColumn("similarity", F.round(F.least("similarity", F.coalesce("cap", F.lit(1.0))), 3)).drop("cap")
+
+
+def post_processed(matches: DataFrame, policy: DataFrame, k: int = 5) -> DataFrame:
+    """Decoy suppression, two stages, then k matches diversified over families."""
+    return diversified(two_stage(suppressed(matches, policy), k=2 * k).drop("rank", "stage"), k=k)

@@ -247,4 +247,19 @@ ORACLES = {
     SELECT parameter, variance, round(variance / (SELECT max(variance) FROM v), 6) AS importance FROM v""",
     "q_latency_p95": f"WITH {_OPS} SELECT kind, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS median FROM ops GROUP BY kind",
     "q_recent_tail": f"WITH {_OPS} SELECT event_id, kind FROM ops ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "q_edge_histogram": f"WITH {_EDGES} SELECT relation, least(20, CAST(floor(confidence * 20) AS BIGINT) + 1) AS bin, count(*) AS n FROM edges GROUP BY ALL",
+    "q_family_outcomes": _M + ", a AS (SELECT family, action || '=' || count(*) AS x FROM m WHERE action <> '' GROUP BY family, action), b AS (SELECT family, string_agg(x, ',' ORDER BY x) AS actions FROM a GROUP BY family) SELECT family, count(*) AS total, round(avg((outcome = 'resolved')::INT), 6) AS rate, any_value(actions) AS actions FROM m LEFT JOIN b USING (family) GROUP BY family",
+    "q_context_quality": _M + """, e AS (SELECT DISTINCT signal_id, incident_id FROM m WHERE similarity >= 0.5 AND outcome = 'resolved'), r AS (
+        SELECT DISTINCT signal_id, incident_id FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY similarity DESC, seq) AS rank FROM m) WHERE rank <= 5), n AS (
+        SELECT signal_id, count(*) FILTER (e.incident_id IS NOT NULL AND r.incident_id IS NOT NULL) AS hit, count(e.incident_id) AS ne, count(r.incident_id) AS nr FROM e FULL JOIN r USING (signal_id, incident_id) GROUP BY signal_id), q AS (
+        SELECT signal_id, CASE WHEN nr > 0 THEN hit / nr::DOUBLE ELSE 0e0 END AS p, CASE WHEN ne > 0 THEN hit / ne::DOUBLE ELSE 0e0 END AS c FROM n)
+    SELECT signal_id, round(p, 6) AS "precision", round(c, 6) AS recall, round(CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0e0 END, 6) AS f1 FROM q""",
+    "q_improvement": f"WITH {_RUNS} SELECT a.seed, round((b.recall - a.recall) / nullif(a.recall, 0) * 100, 2) AS percent FROM r a JOIN r b ON a.seed = b.seed AND a.run = 'old' AND b.run = 'new'",
+    "q_ablation": """WITH r AS (SELECT o_orderpriority AS variant, round(avg(o_orderkey % 100) / 100, 6) AS recall, count(*) / 1e4 AS share FROM orders GROUP BY 1), l AS (
+        SELECT variant, 'recall' AS metric, recall AS value FROM r UNION ALL SELECT variant, 'share', share FROM r), d AS (
+        SELECT l.variant, l.metric, round(l.value - b.value, 4) AS delta FROM l JOIN l b ON b.metric = l.metric AND b.variant = '5-LOW' WHERE l.variant <> '5-LOW')
+    SELECT *, delta > 0 AS improved FROM d""",
+    "q_config_diff": """WITH a AS (SELECT s_name AS key, CASE WHEN s_suppkey % 7 = 1 THEN s_suppkey ELSE s_nationkey END AS value FROM supplier WHERE s_suppkey % 5 <> 1), b AS (
+        SELECT s_name AS key, CASE WHEN s_suppkey % 7 = 2 THEN s_suppkey ELSE s_nationkey END AS value FROM supplier WHERE s_suppkey % 5 <> 2)
+    SELECT key, a.value AS left_value, b.value AS right_value FROM a FULL JOIN b USING (key) WHERE a.value IS DISTINCT FROM b.value""",
 }

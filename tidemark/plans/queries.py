@@ -357,6 +357,40 @@ def q_recent_tail(spark, d):
     return ops(spark, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "kind")
 
 
+def q_edge_histogram(spark, d):
+    return G.confidence_histogram(edges(spark, d))
+
+
+def q_family_outcomes(spark, d):
+    return R.family_outcomes(matches(spark, d))
+
+
+def q_context_quality(spark, d):
+    m = matches(spark, d)
+    got = V.overlap(m.where("similarity >= 0.5 and outcome = 'resolved'"), R.ranked(m, ["signal_id"]).where("rank <= 5"), "signal_id", "incident_id")
+    return got.select("signal_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def q_post_processed(spark, d):
+    policy = table(spark, d, "customer").select(F.col("c_custkey").alias("signal_id"), F.when(F.col("c_custkey") % 3 == 0, 0.45).otherwise(1.0).alias("cap"))
+    m = matches(spark, d).withColumn("n_ids", F.col("seq") % 4)
+    return R.post_processed(m, policy).select("signal_id", "incident_id", "similarity")
+
+
+def q_improvement(spark, d):
+    return V.improvement(seed_runs(spark, d), "recall")
+
+
+def q_ablation(spark, d):
+    runs = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("variant")).agg(F.round(F.avg(F.col("o_orderkey") % 100) / 100, 6).alias("recall"), (F.count("*") / 10000.0).alias("share"))
+    return P.ablation(runs.unpivot("variant", ["recall", "share"], "metric", "value"), "5-LOW")
+
+
+def q_config_diff(spark, d):
+    side = lambda k: table(spark, d, "supplier").where(F.col("s_suppkey") % 5 != k).select(F.col("s_name").alias("key"), F.when(F.col("s_suppkey") % 7 == k, F.col("s_suppkey")).otherwise(F.col("s_nationkey").cast("long")).alias("value"))
+    return P.config_diff(side(1), side(2))
+
+
 def q_context_full(spark, d):
     """One row for each signal: related events, width, chain, confidence, best match and action, explained."""
     e = ops(spark, d)

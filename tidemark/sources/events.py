@@ -97,3 +97,30 @@ def scenario(spark: SparkSession, seed: str = "s", payment: str = "svc-pay", che
 
     lines = [json.dumps({"event_id": f"{seed}-{i:03d}", "ts": base % divmod(r["t"], 60), **{k: v for k, v in r.items() if k != "t"}}) for i, r in enumerate(rows, 1)]
     return spark.createDataFrame([(x,) for x in lines], "value string").select(F.col("value").alias("raw"), F.from_json("value", WIRE).alias("e"))
+
+
+def throughput(spark: SparkSession, n: int, services: int = 10) -> DataFrame:
+    """n normalised-like events (event_id, kind, service, ts), a tenth of a second apart, over four kinds; made on the executors."""
+    kind = F.element_at(F.array(*map(F.lit, ("deploy", "metric", "log", "trace"))), (F.col("id") % 4 + 1).cast("int"))
+    at = F.timestamp_micros(F.lit(1_768_471_200_000_000) + F.col("id") * 100_000)
+    return spark.range(n).select(F.format_string("t-%d", "id").alias("event_id"), kind.alias("kind"), F.format_string("svc-%d", F.col("id") % services).alias("service"), at.alias("ts"))
+
+
+#: Kinds of the events of an incident family, fifteen seconds apart, before its signal.
+FAMILIES = {
+    0: ("deploy", "metric", "log"),
+    1: ("metric", "metric", "trace"),
+    2: ("log", "log", "trace"),
+    3: ("deploy", "trace", "log"),
+    4: ("metric", "log", "deploy"),
+}
+
+
+def family_events(spark: SparkSession, incidents: int, hours: int = 1) -> DataFrame:
+    """(event_id, kind, service, ts, incident_id) of incidents INC-<i>-<family>, `hours` apart, each with its family's events and a signal."""
+    n = len(FAMILIES)
+    steps = F.create_map(*[x for k, v in FAMILIES.items() for x in (F.lit(k), F.array(*map(F.lit, (*v, "incident_signal"))))])
+    base = spark.range(incidents).withColumn("family", (F.col("id") % n).cast("int"))
+    e = base.select("id", "family", F.posexplode(F.element_at(steps, F.col("family"))).alias("step", "kind"))
+    at = F.timestamp_seconds(F.lit(1_768_471_200) + F.col("id") * 3600 * hours + F.col("step") * 15)
+    return e.select(F.format_string("f-%d-%d", "id", "step").alias("event_id"), "kind", F.format_string("svc-%d", "family").alias("service"), at.alias("ts"), F.format_string("INC-%d-%d", "id", "family").alias("incident_id"))
