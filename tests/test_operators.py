@@ -253,3 +253,42 @@ def test_post_processing_and_records(spark):
     p = spark.createDataFrame([(1, 0, 0, 0.9, 1), (1, 0, 1, 0.5, 2)], "incident_id long, truth long, family long, similarity double, rank int")
     d = evaluate.diagnostics(p).first()
     assert d["outcome"] == "correct_rank1" and [x["family"] for x in d["predicted"]["ranked"]] == [0, 1]
+
+
+def test_failure_stats_and_remedies(spark):
+    p = spark.createDataFrame([(1, 0, 0, 0.9, 1), (2, 0, 1, 0.9, 1), (3, None, 1, 0.2, 1), (4, 1, 1, 0.7, 1), (5, None, 1, 0.8, 1)], "incident_id long, truth long, family long, similarity double, rank int")
+    r = spark.createDataFrame([(1, "a", "a", 0.9), (2, "a", None, None), (4, "a", "b", 0.6), (5, None, "b", 0.9)], "incident_id long, expected string, action string, confidence double")
+    got = evaluate.failure_stats(p, r).first().asDict()
+    assert got == {"incidents": 5, "correct": 2, "recall_miss": 1, "remedy_mismatch": 1, "decoy_false_positive": 1, "failures": 3, "success_rate": 0.4}
+    got = evaluate.remedy_mismatches(r).first().asDict()
+    assert got == {"expected": 3, "suggested": 2, "exact": 1, "wrong": 1, "missing": 1, "sure_and_wrong": 1}
+    assert evaluate.failure_stats(p.limit(0), r).first()["success_rate"] == 0
+
+
+def test_run_summary_of_nothing_and_of_nulls(spark):
+    rows = spark.createDataFrame([(True, 2.0, None), (None, None, 0.5)], "success boolean, latency_ms double, confidence double")
+    assert tuple(evaluate.run_summary(rows).first()) == (0.5, 2.0, 0.5, 2, 1, 1)
+    assert tuple(evaluate.run_summary(rows.limit(0)).first()) == (0.0, 0.0, 0.0, 0, 0, 0)
+
+
+def test_attribution_counts_absent_axes_as_nothing(spark):
+    got = evaluate.attribution(spark.createDataFrame([(1, 0.5, None)], "seed int, recall double, precision double"), "seed").collect()
+    assert {r["metric"]: r["contribution"] for r in got} == {"recall": 0.15, "precision": 0.0, "remediation": 0.0, "latency": 0.0, "manual_context": 0.0, "manual_explain": 0.0}
+
+
+def test_sweep_scores_rank_configurations(spark):
+    runs = spark.createDataFrame([("a", 1.0, 1.0, 1.0, 0.0), ("a", 0.0, 0.0, 0.0, 4000.0), ("b", 1.0, 1.0, 1.0, 0.0)], "config string, recall double, precision double, remediation double, p95 double")
+    got = [tuple(r) for r in experiments.sweep_scores(runs, ["config"]).orderBy("rank").collect()]
+    assert got == [("b", 1.0, 1.0, 1.0, 0.0, 1.0, 1.0, 1.0, 1), ("a", 0.5, 0.5, 0.5, 4000.0, 0.475, 0.0, 1.0, 2)]
+
+
+def test_deltas_are_written_most_improved_first(spark, tmp_path):
+    reports.write_deltas(spark.createDataFrame([(1, -0.5), (2, 0.5), (3, 0.5)], "seed int, delta double"), f"{tmp_path}/d")
+    assert [r["seed"] for r in spark.read.option("header", True).csv(f"{tmp_path}/d").collect()] == ["2", "3", "1"]
+
+
+def test_representatives_and_action_score(spark):
+    m = spark.createDataFrame([(1, 1, "INC-1-0", 1.0, "restart", "resolved"), (1, 2, "INC-2-0", 1.0, "restart", "failed"), (1, 3, "INC-3-1", 0.1, "drain", "failed")], "signal_id int, seq int, incident_id string, similarity double, action string, outcome string")
+    assert sorted(r["seq"] for r in retrieval.representatives(m).collect()) == [1, 3]
+    assert retrieval.action_score(m, "restart").first()["score"] == 0.1
+    assert retrieval.action_score(m, "drain").first()["score"] == 0.0

@@ -126,3 +126,49 @@ def improvement(runs: DataFrame, metric: str, old: str = "old", new: str = "new"
     """(seed, percent) by which a metric grew from one run to the other; null from 0."""
     a, b = (runs.where(F.col("run") == r).select("seed", F.col(metric).alias(name)) for r, name in ((old, "a"), (new, "b")))
     return a.join(b, "seed").select("seed", F.round((F.col("b") - F.col("a")) / F.nullif(F.col("a"), F.lit(0.0)) * 100, 2).alias("percent"))
+
+
+def failure_stats(p: DataFrame, remedies: DataFrame) -> DataFrame:
+    """One row: incidents by what went wrong. remedies (incident_id, expected, action): expected is null where no remedy is known."""
+    b = by_incident(p).join(remedies.select("incident_id", "expected", "action"), "incident_id", "left")
+    cured = F.col("expected").isNull() | F.coalesce(F.col("action") == F.col("expected"), F.lit(False))
+    is_ = lambda name: F.col("outcome") == name
+    right = is_("correct_decoy_rejection") | (is_("correct_rank1") & cured)
+    g = b.agg(F.count("*").alias("incidents"), F.count_if(right).alias("correct"), F.count_if(is_("wrong_rank1_recall_miss")).alias("recall_miss"), F.count_if(is_("correct_rank1") & ~cured).alias("remedy_mismatch"), F.count_if(is_("false_positive_decoy")).alias("decoy_false_positive"))
+    failures = F.col("recall_miss") + F.col("remedy_mismatch") + F.col("decoy_false_positive")
+    return g.withColumn("failures", failures).withColumn("success_rate", F.round(F.col("correct") / F.greatest("incidents", F.lit(1)), 6))
+
+
+def remedy_mismatches(remedies: DataFrame, by: str | None = None, sure: float = 0.5) -> DataFrame:
+    """Of the incidents with an expected remedy: how many got one, the right one, a wrong one (with what confidence) or none; by a column or over all."""
+    r = remedies.where("expected is not null")
+    wrong = F.coalesce(F.col("action") != F.col("expected"), F.lit(False))
+    return (r.groupBy(by) if by else r.groupBy()).agg(
+        F.count("*").alias("expected"),
+        F.count("action").alias("suggested"),
+        F.count_if(F.col("action") == F.col("expected")).alias("exact"),
+        F.count_if(wrong).alias("wrong"),
+        F.count_if(F.col("action").isNull()).alias("missing"),
+        F.count_if(wrong & (F.col("confidence") >= sure)).alias("sure_and_wrong"),
+    )
+
+
+def run_summary(results: DataFrame) -> DataFrame:
+    """One row over (success, latency_ms, confidence): pass rate and means, 0 where nothing is known; a null success is a failure."""
+    ok = F.count_if(F.coalesce("success", F.lit(False)))
+    mean = lambda c, digits: F.round(F.coalesce(F.avg(c), F.lit(0.0)), digits)
+    n = F.count("*")
+    return results.agg(F.round(ok / F.greatest(n, F.lit(1)), 4).alias("pass_rate"), mean("latency_ms", 2).alias("latency_ms"), mean("confidence", 4).alias("confidence"), n.alias("total"), ok.alias("passed"), (n - ok).alias("failed"))
+
+
+#: What each axis weighs in the harness's score.
+AXES = {"recall": 0.30, "precision": 0.15, "remediation": 0.20, "latency": 0.15, "manual_context": 0.10, "manual_explain": 0.10}
+
+
+def attribution(axes: DataFrame, by: str) -> DataFrame:
+    """(by, metric, value, weight, contribution) of each axis of a score; an axis that is absent or null counts 0."""
+    have = [c for c in AXES if c in axes.columns]
+    wide = axes.select(by, *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)).alias(c) for c in AXES])
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in AXES.items() for x in kv]), F.col("metric"))
+    long = wide.unpivot([by], list(AXES), "metric", "value").withColumn("weight", weight)
+    return long.select(by, "metric", F.round("value", 4).alias("value"), "weight", F.round(F.col("weight") * F.col("value"), 4).alias("contribution"))

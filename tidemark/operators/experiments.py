@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,17 @@ def importance(results: DataFrame, parameters: Sequence[str], score: str = "scor
     return v.crossJoin(F.broadcast(most)).select("parameter", "variance", F.round(F.when(F.col("most") > 0, F.col("variance") / F.col("most")).otherwise(0.0), 6).alias("importance"))
 
 
+def sweep_scores(runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row for each configuration `by` of runs (recall, precision, remediation, p95): means over its seeds, the worst p95, the weighted
+    score, the least and greatest score of a seed, and the rank (best first, ties by configuration)."""
+    weighed = lambda r, p, m, late: 0.50 * r + 0.30 * p + 0.15 * m + 0.05 * (1 - F.least(F.lit(1.0), late / 2000))
+    own = runs.withColumn("own", weighed(*[F.col(c) for c in ("recall", "precision", "remediation", "p95")]))
+    g = own.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("recall", "precision", "remediation")], F.max("p95").alias("p95"), F.round(F.min("own") + 1e-9, 4).alias("least"), F.round(F.max("own") + 1e-9, 4).alias("most"))
+    g = g.withColumn("score", F.round(weighed(*[F.col(c) for c in ("recall", "precision", "remediation", "p95")]) + 1e-9, 4))
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), *by))  # a row for each configuration, not for each run
+    return g.select(*by, *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("recall", "precision", "remediation")], F.round("p95", 1).alias("p95"), "score", "least", "most", rank.cast("long").alias("rank"))
+
+
 def ablation(results: DataFrame, baseline: str) -> DataFrame:
     """(variant, metric, delta, improved) of each variant's metrics (variant, metric, value) against the baseline's."""
     base = results.where(F.col("variant") == baseline).select("metric", F.col("value").alias("base"))

@@ -137,3 +137,14 @@ def suppressed(matches: DataFrame, policy: DataFrame) -> DataFrame:
 def post_processed(matches: DataFrame, policy: DataFrame, k: int = 5) -> DataFrame:
     """Decoy suppression, two stages, then k matches diversified over families."""
     return diversified(two_stage(suppressed(matches, policy), k=2 * k).drop("rank", "stage"), k=k)
+
+
+def representatives(matches: DataFrame) -> DataFrame:
+    """The likest match of each family of a signal, the earlier of equals."""
+    return ranked(matches.withColumn("family", family_of(F.col("incident_id"))), ["signal_id", "family"]).where("rank = 1").drop("rank")
+
+
+def action_score(matches: DataFrame, action: str, least: int = 2) -> DataFrame:
+    """(signal_id, score) of one action over a signal's matches: the posterior, 0 if it was taken less than `least` times."""
+    taken = matches.groupBy("signal_id").agg(F.count_if(F.col("action") == action).alias("n"))
+    return taken.join(action_posteriors(matches.where(F.col("action") == action), least), "signal_id", "left").select("signal_id", F.coalesce("posterior", F.lit(0.0)).alias("score"))

@@ -148,6 +148,11 @@ _MOTIFS = f"""near AS (
 
 _TWICE = _EDGES + ', twice AS (SELECT * FROM edges WHERE "count" >= 2)'
 
+_REMEDY = """rem AS (
+    SELECT o_orderkey AS incident_id, nullif(o_orderkey % 6, 5) AS truth, CASE WHEN o_orderkey % 7 <> 0 THEN ['rollback', 'restart', 'scale up'][o_orderkey % 3 + 1] END AS expected,
+        CASE WHEN o_orderkey % 9 <> 0 THEN ['rollback', 'restart', 'scale up'][(o_orderkey + (o_orderkey % 4 = 0)::INT) % 3 + 1] END AS action, (o_orderkey * 7919 % 100) / 100 AS confidence FROM orders
+)"""
+
 ORACLES = {
     "q_event_count": f"WITH {_OPS} SELECT kind, count(*) AS n FROM ops GROUP BY kind",
     "q_window_lookback": f"WITH {_OPS} SELECT signal_id, count(*) AS n, min(e.event_id) AS first_event FROM sig s JOIN ops e ON e.cid = s.cid AND e.kind IN {_RELEVANT} AND e.ts BETWEEN s.anchor - 43200 AND s.anchor GROUP BY signal_id",
@@ -262,4 +267,26 @@ ORACLES = {
     "q_config_diff": """WITH a AS (SELECT s_name AS key, CASE WHEN s_suppkey % 7 = 1 THEN s_suppkey ELSE s_nationkey END AS value FROM supplier WHERE s_suppkey % 5 <> 1), b AS (
         SELECT s_name AS key, CASE WHEN s_suppkey % 7 = 2 THEN s_suppkey ELSE s_nationkey END AS value FROM supplier WHERE s_suppkey % 5 <> 2)
     SELECT key, a.value AS left_value, b.value AS right_value FROM a FULL JOIN b USING (key) WHERE a.value IS DISTINCT FROM b.value""",
+    "q_failure_stats": _P + f""", {_REMEDY}, x AS (SELECT b.*, expected IS NULL OR coalesce(action = expected, false) AS cured FROM b LEFT JOIN rem USING (incident_id)), c AS (
+        SELECT count(*) AS incidents, count(*) FILTER ((truth IS NULL AND similarity < 0.5) OR (first = truth AND cured)) AS correct, count(*) FILTER (first <> truth) AS recall_miss,
+            count(*) FILTER (first = truth AND NOT cured) AS remedy_mismatch, count(*) FILTER (truth IS NULL AND similarity >= 0.5) AS decoy_false_positive FROM x)
+    SELECT *, recall_miss + remedy_mismatch + decoy_false_positive AS failures, round(correct / greatest(incidents, 1)::DOUBLE, 6) AS success_rate FROM c""",
+    "q_remedy_mismatches": f"""WITH {_REMEDY} SELECT count(*) AS expected, count(action) AS suggested, count(*) FILTER (action = expected) AS exact, count(*) FILTER (action <> expected) AS wrong,
+        count(*) FILTER (action IS NULL) AS missing, count(*) FILTER (action <> expected AND confidence >= 0.5) AS sure_and_wrong FROM rem WHERE expected IS NOT NULL""",
+    "q_remedy_mismatches_by_family": f"WITH {_REMEDY} SELECT coalesce(truth::VARCHAR, 'decoy') AS family, count(*) FILTER (action <> expected) AS wrong, count(*) FILTER (action <> expected AND confidence >= 0.5) AS sure_and_wrong FROM rem WHERE expected IS NOT NULL GROUP BY 1",
+    "q_run_summary": """WITH c AS (SELECT c_custkey % 4 <> 0 AS ok, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 50 END AS late, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 8) / 8 END AS sure FROM customer)
+    SELECT round(count(*) FILTER (ok) / count(*)::DOUBLE, 4) AS pass_rate, round(avg(late), 2) AS latency_ms, round(avg(sure), 4) AS confidence, count(*) AS total, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed FROM c""",
+    "q_score_attribution": f"""WITH {_RUNS}, l AS (
+        SELECT seed, unnest(['recall', 'precision', 'remediation', 'latency', 'manual_context', 'manual_explain']) AS metric, unnest([recall, "precision", remediation, least(1e0, 2000 / greatest(p95, 1e-6)), 0e0, 0e0]) AS value,
+            unnest([3e-1, 15e-2, 2e-1, 15e-2, 1e-1, 1e-1]) AS weight FROM r WHERE run = 'new') SELECT seed, metric, weight, round(round(weight * value, 4), 3) AS contribution FROM l""",
+    "q_sweep_scores": f"""WITH {_RUNS}, o AS (SELECT *, seed % 10 AS config, 5e-1 * recall + 3e-1 * "precision" + 15e-2 * remediation + 5e-2 * (1 - least(1e0, p95 / 2000)) AS own FROM r), g AS (
+        SELECT config, avg(recall) AS recall, avg("precision") AS pr, avg(remediation) AS remediation, max(p95) AS p95, min(own) AS least, max(own) AS most FROM o GROUP BY config), q AS (
+        SELECT config, round(recall + 1e-9, 4) AS recall, round(pr + 1e-9, 4) AS "precision", round(remediation + 1e-9, 4) AS remediation, round(5e-1 * recall + 3e-1 * pr + 15e-2 * remediation + 5e-2 * (1 - least(1e0, p95 / 2000)) + 1e-9, 4) AS score,
+            round(least + 1e-9, 4) AS least, round(most + 1e-9, 4) AS most FROM g)
+    SELECT *, row_number() OVER (ORDER BY score DESC, config) AS rank FROM q""",
+    "q_representatives": _M + "SELECT signal_id, family, incident_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY signal_id, family ORDER BY similarity DESC, seq) AS n FROM m) WHERE n = 1",
+    "q_action_score": _M + """SELECT signal_id, CASE WHEN n < 2 THEN 0e0 ELSE round(greatest(5e-2, least(99e-2, (4e-1 * k / n + 6e-1 * (2 + k) / (4 + n)) * least(1e0, n / 1e1) * s)) + 1e-9, 6) END AS score FROM (
+        SELECT signal_id, count(*) FILTER (action = 'restart') AS n, count(*) FILTER (action = 'restart' AND outcome = 'resolved') AS k, avg(similarity) FILTER (action = 'restart') AS s FROM m GROUP BY signal_id)""",
+    "q_evidence_counts": f"""WITH {_OPS} SELECT signal_id, count(*) FILTER (kind = 'deploy') AS n_deploy, count(*) FILTER (kind = 'metric') AS n_metric, count(*) FILTER (kind = 'log') AS n_log, count(*) FILTER (kind = 'trace') AS n_trace,
+        count(*) FILTER (kind = 'incident_signal') AS n_incident_signal, count(*) FILTER (kind = 'remediation') AS n_remediation FROM sig s JOIN (SELECT cid, ts, kind FROM ops) e ON e.cid = s.cid AND e.ts BETWEEN anchor - 86400 AND anchor GROUP BY signal_id""",
 }

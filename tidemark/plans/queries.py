@@ -19,7 +19,7 @@ from tidemark.operators import temporal as T
 from tidemark.session import cut
 
 from . import views as W
-from .views import TIME_SCALE, matches, ops, predictions, renames, seed_runs, signals, table
+from .views import TIME_SCALE, matches, ops, predictions, remedies, renames, seed_runs, signals, table
 
 HOUR = 3600.0 * TIME_SCALE
 
@@ -391,6 +391,50 @@ def q_config_diff(spark, d):
     return P.config_diff(side(1), side(2))
 
 
+def q_failure_stats(spark, d):
+    return V.failure_stats(predictions(spark, d), remedies(spark, d))
+
+
+def q_remedy_mismatches(spark, d):
+    return V.remedy_mismatches(remedies(spark, d))
+
+
+def q_remedy_mismatches_by_family(spark, d):
+    r = remedies(spark, d).withColumn("family", F.coalesce(F.col("truth").cast("string"), F.lit("decoy")))
+    return V.remedy_mismatches(r, "family").select("family", "wrong", "sure_and_wrong")
+
+
+def q_run_summary(spark, d):
+    c = table(spark, d, "customer")
+    return V.run_summary(c.select((F.col("c_custkey") % 4 != 0).alias("success"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 50).alias("latency_ms"), F.when(F.col("c_custkey") % 5 != 0, (F.col("c_custkey") % 8) / 8).alias("confidence")))
+
+
+def q_score_attribution(spark, d):
+    s = seed_runs(spark, d).where("run = 'new'").select("seed", "recall", "precision", "remediation", F.least(F.lit(1.0), 2000 / F.greatest("p95", F.lit(1e-6))).alias("latency"))
+    return V.attribution(s, "seed").select("seed", "metric", "weight", F.round("contribution", 3).alias("contribution"))
+
+
+def q_sweep_scores(spark, d):
+    runs = seed_runs(spark, d).withColumn("config", F.col("seed") % 10)
+    return P.sweep_scores(runs, ["config"]).drop("p95")
+
+
+def q_representatives(spark, d):
+    return R.representatives(matches(spark, d)).select("signal_id", "family", "incident_id", "similarity")
+
+
+def q_action_score(spark, d):
+    return R.action_score(matches(spark, d), "restart")
+
+
+def q_evidence_counts(spark, d):
+    """How many events of each kind stand behind a signal."""
+    e = ops(spark, d)
+    near = T.band_join(signals(e).select("signal_id", "anchor", "cid"), e.select("cid", "ts", "kind"), ["cid"], "anchor", "ts", 600 * TIME_SCALE)
+    kinds = ("deploy", "metric", "log", "trace", "incident_signal", "remediation")
+    return near.groupBy("signal_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
+
+
 def q_context_full(spark, d):
     """One row for each signal: related events, width, chain, confidence, best match and action, explained."""
     e = ops(spark, d)

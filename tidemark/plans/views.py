@@ -89,3 +89,17 @@ def seed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("l_quantity") / 60, 6).alias("remediation"),
         (F.max("l_extendedprice") / 20).alias("p95"),
     )
+
+
+def remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(incident_id, truth, expected, action, confidence) of the incidents of predictions(): some expect no remedy, some get none."""
+    o = table(spark, sf_dir, "orders")
+    name = lambda n: F.element_at(F.array(*map(F.lit, ("rollback", "restart", "scale up"))), (n % 3 + 1).cast("int"))
+    key = F.col("o_orderkey")
+    return o.select(
+        key.alias("incident_id"),
+        F.nullif(key % 6, F.lit(5)).alias("truth"),
+        F.when(key % 7 != 0, name(key)).alias("expected"),
+        F.when(key % 9 != 0, name(F.when(key % 4 == 0, key + 1).otherwise(key))).alias("action"),
+        ((key * 7919 % 100) / 100).alias("confidence"),
+    )

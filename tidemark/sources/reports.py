@@ -31,6 +31,11 @@ def write_long(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_deltas(deltas: DataFrame, path: str) -> None:
+    """Seed deltas as CSV in one global order: the most improved first, then by seed."""
+    deltas.orderBy(F.desc("delta"), "seed").write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_json(rows: DataFrame, metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").json(f"{path}/metadata")
     rows.write.mode("overwrite").json(f"{path}/records")
