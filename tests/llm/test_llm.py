@@ -81,6 +81,14 @@ def test_mixing(spark, docs):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixed_documents(docs).collect()))
 
 
+def test_mix_keeps_rows_without_an_id_apart(spark):
+    docs = spark.createDataFrame([(None, f"a b c {i}", "x", i) for i in range(20)] + [(None, "a b c 0", "x", 99), (1, "d e", "x", 7), (1, "d e", "x", 8)], "doc_id long, text string, source string, __times int")
+    got = mixing.repeat_by_mix(docs.drop("__times")).collect()
+    assert {r["text"] for r in got} == {f"a b c {i}" for i in range(20)} | {"d e"}
+    assert max(Counter(r["text"] for r in got).values()) == 2
+    assert mixing.mixed_documents(docs).count() == 23
+
+
 def test_mix_stream_fills_each_slot_once(docs):
     _, _, stream = mixing.mix(docs, block=64)
     per_slot = stream.groupBy("slot").agg(F.sum("length").alias("n")).collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, stored, table, word_count
@@ -66,15 +66,20 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return dealt.where("block < quota").select("source", "block", "slot").unionByName(tail)
 
 
+def _twin() -> Column:
+    """What tells rows without an id apart: a hash of the text; null for rows with an id."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("source").cast("string")))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK_WORDS, seed: str = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, targets, stream) of documents (doc_id, text, source).
 
-    rows: a row for each document (row, doc_id, source, size), by a row number of its own, so that repeated and null ids stay apart.
+    rows: a row for each document (row, doc_id, twin, source, size), by a row number of its own, so that repeated and null ids stay apart.
     stream: (slot, block, row, start, length), the words of row that the slot takes; slots in order are the mix.
     A source's documents, shuffled by a hash of the id, form a stream that starts over at its end; its blocks of `block` words fill its slots
     and the last is cut at the target. Null or empty texts have no words and are in no slot; a null source is a source of its own.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _twin().alias("twin"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     rows = stored(rows, "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     n = sizes.agg(F.max("n")).first()[0] or 0
@@ -82,7 +87,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     digits = 2
     while 16**digits * 2048 < n:
         digits += 1
-    keyed = rows.where("size > 0").withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
+    keyed = rows.where("size > 0").withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("twin").cast("string"))))
     placed = numbered(keyed, ["source"], [F.col("key"), F.col("doc_id"), F.col("size"), F.col("row")], F.substring("key", 1, digits), "at", F.col("size"))
     placed = placed.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.row", "p.source", "p.size", "p.at", "t.source_size", F.floor("t.target").alias("words"))
     placed = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).withColumn("at", F.col("at") + F.col("pass") * F.col("source_size")).where("at < words")
@@ -96,19 +101,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs with size, source_size, target and taken; see mix(). Columns of docs of these names are replaced."""
+    """(doc_id, size, source_size, target, taken, first_slot, twin) for each row of docs; see mix(). Other columns of docs are not read."""
     rows, targets, stream = mix(docs)
     taken = stream.groupBy("row").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"))
     full = rows.alias("r").join(taken.alias("k"), "row", "left").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    return full.select("r.doc_id", "r.size", "t.source_size", "t.target", F.coalesce("k.taken", F.lit(0).cast("long")).alias("taken"), "k.first_slot")
+    return full.select("r.doc_id", "r.size", "t.source_size", "t.target", F.coalesce("k.taken", F.lit(0).cast("long")).alias("taken"), "k.first_slot", "r.twin")
 
 
 def repeat_by_mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs as often as the mix takes them, whole and in part: never, once or twice. A row that repeats an id counts once."""
-    docs = docs.dropDuplicates(["doc_id"])
-    times = mixed_documents(docs).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    out = docs.alias("d").join(times.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select("d.*", "__times")
-    return out.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    """The rows of docs as often as the mix takes them, whole and in part: never, once or twice.
+
+    A row that repeats an id counts once; of rows without an id those of one text and source count once, the others are told apart.
+    """
+    docs = docs.withColumn("__twin", _twin()).dropDuplicates(["doc_id", "__twin"])
+    times = mixed_documents(docs).where("taken > 0").select("doc_id", "twin", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.__twin").eqNullSafe(F.col("m.twin"))
+    out = docs.alias("d").join(times.alias("m"), same).select("d.*", "__times")
+    return out.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__twin")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
