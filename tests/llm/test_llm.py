@@ -346,6 +346,60 @@ def test_lm_windows_equal_one_window_a_token():
     assert np.allclose(inside[np.unique(vocab.classes)], 1)
 
 
+def test_lm_beginnings_share_out_one():
+    rng = np.random.default_rng(4)
+    size = 40  # ids 0..19 open a word, 20..38 go on with it, 39 ends a text
+    bag = Counter()
+    for _ in range(3000):
+        bag[(int(rng.integers(0, 20) ** 2 // 20), *(int(x) for x in 20 + rng.integers(0, 19, rng.integers(0, 4)) ** 2 // 19))] += 1
+    ends = 50
+    count, done = Counter({(39,): ends}), Counter()
+    for w, c in bag.items():
+        done[w] += c
+        for k in range(1, len(w) + 1):
+            count[w[:k]] += c
+
+    def hashed(w):
+        return tuple(int(x[-1]) for x in lm.beginnings(np.array(w, np.int32), np.array([0, len(w)])))
+
+    for kept in (count, {k: c for k, c in count.items() if c > 20}, {}):
+        rows = [(*hashed(w), c, done[w]) for w, c in kept.items()]
+        known = lm.Beginnings(*(np.array(x, np.int64) for x in (zip(*rows) if rows else [[]] * 4)))
+        every = sum(c for w, c in kept.items() if len(w) == 1)
+        for history in [(), *bag]:
+            total = 0.0
+            for x in range(size):
+                word = (x,) if x < 20 or x == 39 else (*history, x)
+                if word == (x,) and x >= 20 and x < 39:
+                    continue  # nothing goes on with the word before the first
+                ids, first = np.array([*history, *([x] if len(word) == 1 else [])] if len(word) == 1 else word, np.int32), None
+                first = np.array([0, len(history), len(history) + 1] if len(word) == 1 and history else [0, len(ids)])
+                own, left = known.shares(known.find(ids, first), np.array([0, len(ids)]))
+                want = max(kept.get(word, 0) - lm.DISCOUNT, 0)
+                if len(word) > 1:
+                    want = want / kept[history] if history in kept else 0.0
+                else:
+                    want = want / every * (max(done[history] - lm.DISCOUNT, 0) / kept[history] if history in kept else 0.0 if history else 1.0) if every else 0.0
+                assert own[-1] == pytest.approx(want, abs=1e-6)
+                total += own[-1]
+            assert total + left[-1] == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_mixes_attention_and_counts():
+    enc = lm.encoder(open(lm.TOKENIZER, "rb").read())
+    words = ["alpha", "beta", "gammatron"]
+    ids, first = enc.words(words)
+    node, parent = lm.beginnings(ids, first)
+    known = lm.Beginnings(node, parent, np.full(len(ids), 5), np.bincount(first[1:] - 1, minlength=len(ids)) * 5)
+    vocab = lm.Vocabulary(np.bincount(ids, minlength=enc.end + 1).astype(float), np.arange(enc.end + 1) % lm.CLASSES)
+    model = lm.Model(lm.first_weights(), vocab, known)
+    flat, at_text, at = enc.texts(lm.pa.array(["beta", "alpha", "unseenish"]), np.array([0, 3]), known.find)
+    own, left = known.shares(at, at_text)
+    alone = np.diff([model.score(flat[:n], np.array([0, n]))[0] if n else 0.0 for n in range(len(flat) + 1)])
+    want = np.log10((1 - lm.ATTENTION) * own + (lm.ATTENTION + (1 - lm.ATTENTION) * left) * 10**alone).sum()
+    assert model.score(flat, at_text, at)[0] == pytest.approx(want, rel=1e-5)
+
+
 def test_lm_learns():
     rng = np.random.default_rng(1)
     ids = np.tile(rng.permutation(40), 240).astype(np.int32)
