@@ -450,6 +450,25 @@ def test_passages(spark):
     assert len(left[101].split()) == 70 and len(left[100].split()) == 140 and left[104] is None
 
 
+@pytest.mark.parametrize("period", [1, 5, 10, 14, 16, 25])
+def test_passages_of_periodic_texts(spark, period):
+    rng = random.Random(period)
+    text = " ".join((words(rng, period).split() * 400)[:400])
+    df = spark.createDataFrame([(1, text), (2, text), (3, words(rng, 400))], "doc_id long, text string")
+    got = passages.repeated_passages(df).collect()
+    assert {(r["doc_id"], r["first_doc_id"]) for r in got} == {(2, 1)}
+    assert {k for r in got for k in range(r["start"], r["end"])} == set(range(400))
+
+
+def test_passages_whose_halves_are_in_smaller_documents(spark):
+    rng = random.Random(12)
+    passage = words(rng, 60).split()
+    put = lambda p: f"{words(rng, 40)} {' '.join(p)} {words(rng, 30)}"
+    rows = [(1, put(passage[:30])), (2, put(passage[30:])), (3, put(passage)), (4, put(passage))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["first_doc_id"], r["start"], r["end"]) for r in got] == [(4, 3, 40, 100)]
+
+
 def test_chains_against_all_pairs():
     rng = random.Random(6)
     for _ in range(60):
