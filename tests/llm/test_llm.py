@@ -385,6 +385,21 @@ def test_lm_beginnings_share_out_one():
             assert total + left[-1] == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_joins_the_rarer_beginnings(spark, docs):
+    ranks = spark.sparkContext.broadcast(open(lm.TOKENIZER, "rb").read())
+    counted = spark.createDataFrame([(f"alpha{k % 70}{'omega' * (k % 3)}", 1 + k % 9) for k in range(210)], "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    _, known, rest = lm.subword_counts(counted, ranks, 20, 30)
+    _, every, none = lm.subword_counts(counted, ranks, 20)
+    more = rest.toPandas()
+    wide = known.wider(more["node"].to_numpy(), more[["first", "later", "ends", "left"]].to_numpy())
+    ids, first = lm.encoder(ranks.value).words([r["word"] for r in counted.collect()] + ["betaunseen"])
+    assert none is None and 0 < known.root <= 30 < every.root and (known.find(ids, first) == known.unknown).sum() > 100
+    assert np.allclose(wide.table[wide.find(ids, first)], every.table[every.find(ids, first)], atol=1e-7)
+    # Where a text lies in its slice decides how far attention looks back, within 0.1 %.
+    got, want = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score_texts(docs, most=most).collect()} for most in (30, lm.BEGINNINGS))
+    assert got == pytest.approx(want, rel=1e-3)
+
+
 def test_lm_mixes_attention_and_counts():
     enc = lm.encoder(open(lm.TOKENIZER, "rb").read())
     words = ["alpha", "beta", "gammatron"]
