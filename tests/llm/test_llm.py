@@ -415,6 +415,16 @@ def test_lm_mixes_attention_and_counts():
     assert model.score(flat, at_text, at)[0] == pytest.approx(want, rel=1e-5)
 
 
+def test_lm_trains_on_all_texts(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(lm, "stored", lambda df, name: (rounds.append(stored(df, name)), rounds[-1])[1])
+    enc, texts = lm.encoder(open(lm.TOKENIZER, "rb").read()), [words(random.Random(k), 30) for k in range(60)]
+    ranks = spark.sparkContext.broadcast(open(lm.TOKENIZER, "rb").read())
+    lm.fit(spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "key string, text string"), np.ones(enc.end + 1), ranks)
+    tokens = sum(len(enc.words(t.split())[0]) + 1 for t in texts)
+    assert [r.agg(F.sum("weight")).first()[0] for r in rounds] == [tokens] * lm.ROUNDS
+
+
 def test_lm_learns():
     rng = np.random.default_rng(1)
     ids = np.tile(rng.permutation(40), 240).astype(np.int32)
