@@ -494,6 +494,17 @@ def test_passages_whose_halves_are_in_smaller_documents(spark):
     assert [(r["doc_id"], r["first_doc_id"], r["start"], r["end"]) for r in got] == [(4, 3, 40, 100)]
 
 
+def test_passages_with_edits(spark):
+    rng, rows = random.Random(13), []
+    for k in range(100):
+        passage = words(rng, 60).split()
+        edited = [y for w in passage for y in ([w] if rng.random() >= 0.05 else rng.choice((["changed"], [], [w, "added"])))]
+        rows += [(2 * k + i, f"{words(rng, 40)} {' '.join(p)} {words(rng, 30)}") for i, p in enumerate((passage, edited))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r["doc_id"], r["first_doc_id"]) for r in got}
+    assert all(a == b + 1 and b % 2 == 0 for a, b in pairs) and len(pairs) >= 80
+
+
 def test_chains_against_all_pairs():
     rng = random.Random(6)
     for _ in range(60):
