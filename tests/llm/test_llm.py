@@ -598,6 +598,15 @@ def test_decontamination_removes(spark, docs, none):
     assert decontamination.hits(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_by_join_removes_rows(spark):
+    rows = [(None, "no id here"), (None, "another text"), (1, "no id here"), (1, "clean"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "no id here")], "item_id long, text string")
+    want = sorted(map(str, (tuple(r) for r in decontamination.decontaminate(docs, bench).collect())))
+    assert want == sorted(map(str, (rows[1], rows[3], rows[4])))
+    assert sorted(map(str, (tuple(r) for r in decontamination.decontaminate(docs, bench, limit=0).collect()))) == want
+
+
 # secrets
 
 

@@ -145,14 +145,16 @@ def hits_by_join(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents", limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit words cut out of their texts; the other columns stay."""
-    index = load_index(benchmark, window)
+    index = load_index(benchmark, window, limit)
     if index is None:
         if remove != "documents":
             raise ValueError("spans can be removed for a benchmark within BROADCAST_BYTES")
-        bad = hits_by_join(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-        return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti").select(docs.columns)
+        # A key of each row: ids may be null or repeat.
+        keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "benchmark-docs")
+        bad = hits_by_join(keyed.select(F.col("__row").alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("__row"))
+        return keyed.join(bad, "__row", "left_anti").select(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
