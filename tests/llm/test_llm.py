@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontamination, language, lm, mixing, passages, pii, secrets, sharding, simhash
+from tidemark.llm import ann, decontamination, language, mixing, passages, pii, secrets, sharding, simhash
 from tidemark.llm.common import discard, numbered, stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -297,162 +297,6 @@ def test_numbered_is_gapless_for_one_hot_group(spark):
     assert got == list(range(3000))
 
 
-# language model
-
-
-def test_lm_base_and_held_out(spark, docs):
-    rows = docs.collect()
-    got = lm.score_texts(clash(docs)).collect()
-    assert len(got) == len(rows)
-    counts = Counter()
-    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
-    tokens = lambda t: (t or "").encode().lower().split() + [None]
-    for r in rows:
-        if not held(r[0]):
-            counts.update(tokens(r[1]))
-    n, v = sum(counts.values()), len(counts)
-    text = {r[0]: r[1] for r in rows}
-    for r in got:
-        t = tokens(text[r["doc_id"]])
-        want = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t)
-        assert r["base_score"] == pytest.approx(want, abs=1e-6)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(counts[w] > 0 for w in t), n, held(r["doc_id"]))
-        assert r["score"] < 0
-
-
-def test_lm_windows_equal_one_window_a_token():
-    rng = np.random.default_rng(0)
-    vocab = lm.Vocabulary(rng.integers(0, 50, 6000).astype(float), rng.integers(0, lm.CLASSES, 6000))
-    w = lm.first_weights()
-    w["R"] = rng.normal(0, 1, lm.WINDOW).astype(np.float32)
-    model = lm.Model(w, vocab)
-    lengths = [1, 5, 70, 33, 16]
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    ids = rng.integers(0, 6000, first[-1]).astype(np.int32)
-    got = model.score(ids, first, block=3)
-    for d, n in enumerate(lengths):
-        own, total = ids[first[d] : first[d + 1]], 0.0
-        x = w["E"][vocab.row[np.concatenate([[5999], own[:-1]])]]
-        for t in range(n):
-            lo = max(0, (first[d] + t) // lm.STRIDE * lm.STRIDE - (lm.WINDOW - lm.STRIDE) - first[d])
-            keys = x[lo : t + 1]
-            s = (x[t] @ w["Q"]) @ (keys @ w["K"]).T / 4 + w["R"][t - np.arange(lo, t + 1)]
-            p = np.exp(s - s.max())
-            h = np.tanh(x[t] @ w["O"] + w["b"] + p / p.sum() @ (keys @ w["V"]))
-            z = h @ w["U"] + w["c"]
-            total += (z[vocab.classes[own[t]]] - np.log(np.exp(z).sum())) / np.log(10) + vocab.share[own[t]]
-        assert got[d] == pytest.approx(total, rel=1e-4)
-    inside = np.bincount(vocab.classes, weights=10**vocab.share)
-    assert np.allclose(inside[np.unique(vocab.classes)], 1)
-
-
-def test_lm_beginnings_share_out_one():
-    rng = np.random.default_rng(4)
-    size = 40  # ids 0..19 open a word, 20..38 go on with it, 39 ends a text
-    bag = Counter()
-    for _ in range(3000):
-        bag[(int(rng.integers(0, 20) ** 2 // 20), *(int(x) for x in 20 + rng.integers(0, 19, rng.integers(0, 4)) ** 2 // 19))] += 1
-    ends = 50
-    count, done = Counter({(39,): ends}), Counter()
-    for w, c in bag.items():
-        done[w] += c
-        for k in range(1, len(w) + 1):
-            count[w[:k]] += c
-
-    def hashed(w):
-        return tuple(int(x[-1]) for x in lm.beginnings(np.array(w, np.int32), np.array([0, len(w)])))
-
-    for kept in (count, {k: c for k, c in count.items() if c > 20}, {}):
-        rows = [(*hashed(w), c, done[w]) for w, c in kept.items()]
-        known = lm.Beginnings(*(np.array(x, np.int64) for x in (zip(*rows) if rows else [[]] * 4)))
-        every = sum(c for w, c in kept.items() if len(w) == 1)
-        for history in [(), *bag]:
-            total = 0.0
-            for x in range(size):
-                word = (x,) if x < 20 or x == 39 else (*history, x)
-                if word == (x,) and x >= 20 and x < 39:
-                    continue  # nothing goes on with the word before the first
-                ids, first = np.array([*history, *([x] if len(word) == 1 else [])] if len(word) == 1 else word, np.int32), None
-                first = np.array([0, len(history), len(history) + 1] if len(word) == 1 and history else [0, len(ids)])
-                own, left = known.shares(known.find(ids, first), np.array([0, len(ids)]))
-                want = max(kept.get(word, 0) - lm.DISCOUNT, 0)
-                if len(word) > 1:
-                    want = want / kept[history] if history in kept else 0.0
-                else:
-                    want = want / every * (max(done[history] - lm.DISCOUNT, 0) / kept[history] if history in kept else 0.0 if history else 1.0) if every else 0.0
-                assert own[-1] == pytest.approx(want, abs=1e-6)
-                total += own[-1]
-            assert total + left[-1] == pytest.approx(1, abs=1e-5)
-
-
-def test_lm_joins_the_rarer_beginnings(spark, docs):
-    ranks = spark.sparkContext.broadcast(open(lm.TOKENIZER, "rb").read())
-    counted = spark.createDataFrame([(f"alpha{k % 70}{'omega' * (k % 3)}", 1 + k % 9) for k in range(210)], "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    _, known, rest = lm.subword_counts(counted, ranks, 20, 30)
-    _, every, none = lm.subword_counts(counted, ranks, 20)
-    more = rest.toPandas()
-    wide = known.wider(more["node"].to_numpy(), more[["first", "later", "ends", "left"]].to_numpy())
-    ids, first = lm.encoder(ranks.value).words([r["word"] for r in counted.collect()] + ["betaunseen"])
-    assert none is None and 0 < known.root <= 30 < every.root and (known.find(ids, first) == known.unknown).sum() > 100
-    assert np.allclose(wide.table[wide.find(ids, first)], every.table[every.find(ids, first)], atol=1e-7)
-    # Where a text lies in its slice decides how far attention looks back, within 0.1 %.
-    got, want = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score_texts(docs, most=most).collect()} for most in (30, lm.BEGINNINGS))
-    assert got == pytest.approx(want, rel=1e-3)
-
-
-def test_lm_mixes_attention_and_counts():
-    enc = lm.encoder(open(lm.TOKENIZER, "rb").read())
-    words = ["alpha", "beta", "gammatron"]
-    ids, first = enc.words(words)
-    node, parent = lm.beginnings(ids, first)
-    known = lm.Beginnings(node, parent, np.full(len(ids), 5), np.bincount(first[1:] - 1, minlength=len(ids)) * 5)
-    vocab = lm.Vocabulary(np.bincount(ids, minlength=enc.end + 1).astype(float), np.arange(enc.end + 1) % lm.CLASSES)
-    model = lm.Model(lm.first_weights(), vocab, known)
-    flat, at_text, at = enc.texts(lm.pa.array(["beta", "alpha", "unseenish"]), np.array([0, 3]), known.find)
-    own, left = known.shares(at, at_text)
-    alone = np.diff([model.score(flat[:n], np.array([0, n]))[0] if n else 0.0 for n in range(len(flat) + 1)])
-    want = np.log10((1 - lm.ATTENTION) * own + (lm.ATTENTION + (1 - lm.ATTENTION) * left) * 10**alone).sum()
-    assert model.score(flat, at_text, at)[0] == pytest.approx(want, rel=1e-5)
-
-
-def test_lm_trains_on_all_texts(spark, monkeypatch):
-    rounds = []
-    monkeypatch.setattr(lm, "stored", lambda df, name: (rounds.append(stored(df, name)), rounds[-1])[1])
-    enc, texts = lm.encoder(open(lm.TOKENIZER, "rb").read()), [words(random.Random(k), 30) for k in range(60)]
-    ranks = spark.sparkContext.broadcast(open(lm.TOKENIZER, "rb").read())
-    lm.fit(spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "key string, text string"), np.ones(enc.end + 1), ranks)
-    tokens = sum(len(enc.words(t.split())[0]) + 1 for t in texts)
-    assert [r.agg(F.sum("weight")).first()[0] for r in rounds] == [tokens] * lm.ROUNDS
-
-
-def test_lm_learns():
-    rng = np.random.default_rng(1)
-    ids = np.tile(rng.permutation(40), 240).astype(np.int32)
-    first = np.arange(0, len(ids) + 1, 1200)
-    vocab = lm.Vocabulary(np.bincount(ids, minlength=6000).astype(float), np.arange(6000) % lm.CLASSES)
-    w = lm.first_weights()
-    before = lm.Model(w, vocab).score(ids, first).sum()
-    for k in range(15):
-        w = lm.train(w, vocab, ids, first, np.random.default_rng(k))
-    assert lm.Model(w, vocab).score(ids, first).sum() > 0.5 * before
-
-
-def test_lm_encoder_and_averages(spark):
-    enc = lm.encoder(open(lm.TOKENIZER, "rb").read())
-    for text in ("the cat sat.", "a b c", "", "x" * 5000):
-        w, first = lm._words(lm._lower(lm.pa.array([text])))
-        ids, at = enc.texts(w, first)
-        assert at.tolist() == [0, len(ids)] and ids[-1] == enc.end
-        assert enc.tokens.decode(ids[:-1].tolist()) == "".join(" " + x for x in w.to_pylist())
-    a, b = lm.first_weights(1), lm.first_weights(2)
-    row = next(lm.averaged(iter([lm._pack(a, 1.0), lm._pack(b, 3.0)])))
-    assert np.allclose(np.frombuffer(row.column("U")[0].as_py(), np.float32).reshape(a["U"].shape), a["U"] / 4 + b["U"] * 0.75, atol=1e-6)
-
-
-def test_lm_empty(none):
-    assert lm.score_texts(none).count() == 0
-
-
 # repeated passages
 
 
