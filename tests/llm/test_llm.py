@@ -312,7 +312,7 @@ def test_passages(spark):
     rows += [(100, put(passage)), (101, put(passage)), (102, put(fuzzy).upper()), (103, put(passage[:40])), (104, None), (105, ""), (None, put(passage)), (0, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["first_doc_id"]): r for r in passages.repeated_passages(clash(df)).collect()}
-    assert set(got) == {(101, 100), (102, 100)}
+    assert set(got) == {(101, 100), (102, 100), (102, 101)}
     assert got[101, 100]["start"] == 40 and got[101, 100]["end"] == 110 and got[101, 100]["identity"] == 1
     assert abs(got[102, 100]["start"] - 40) <= 1 and got[102, 100]["identity"] >= 0.9
     left = {r["doc_id"]: r["text"] for r in passages.remove_passages(df.where("doc_id > 99")).collect()}
@@ -349,6 +349,74 @@ def test_passages_with_edits(spark):
     assert all(a == b + 1 and b % 2 == 0 for a, b in pairs) and len(pairs) >= 80
 
 
+def test_passages_with_fragments_in_smaller_documents(spark):
+    """Passages of 60 words, each also quoted in three smaller documents as fragments of 24 words: the two whole ones are linked."""
+    rng, rows, want = random.Random(21), [], set()
+    put = lambda p: f"{words(rng, 40)} {' '.join(p)} {words(rng, 30)}"
+    for k in range(30):
+        passage, base = words(rng, 60).split(), 10 * k
+        rows += [(base + i, put(passage[18 * i : 18 * i + 24])) for i in range(3)] + [(base + 3, put(passage)), (base + 4, put(passage))]
+        want.add((base + 4, base + 3))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["first_doc_id"]) for r in got} == want
+
+
+def local_alignment(a, b):
+    """Best local alignment of two word lists, +1 for equal words and -2 for a change, an insertion or a deletion: (score, a start, a end)."""
+    best, row = (0, 0, 0), [(0, 0)] * (len(b) + 1)
+    for i, x in enumerate(a):
+        new = [(0, i + 1)]
+        for j, y in enumerate(b):
+            s, at = max((row[j][0] + (1 if x == y else -2), row[j][1]), (row[j + 1][0] - 2, row[j + 1][1]), (new[j][0] - 2, new[j][1]), key=lambda c: c[0])
+            new.append((s, at) if s > 0 else (0, i + 1))
+            best = max(best, (new[-1][0], new[-1][1], i + 1), key=lambda c: c[0])
+        row = new
+    return best
+
+
+def test_passages_against_alignment_of_all_pairs(spark):
+    """Of every document the words that align with 50 words or more of a smaller one, by brute force over all pairs, are found."""
+    rng, rows = random.Random(22), []
+    pool = [words(rng, 80).split() for _ in range(5)]
+    for d in range(24):
+        text = words(rng, 30).split()
+        for p in rng.sample(pool, 2):
+            lo = rng.randrange(0, 30)
+            text += [w if rng.random() >= 0.04 * (d % 3) else "changed" for w in p[lo : lo + rng.choice((20, 55, 70))]] + words(rng, 20).split()
+        rows.append((d, " ".join(text)))
+    found = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]].update(range(r["start"], r["end"]))
+    split, covered, total = [t.split() for _, t in rows], 0, 0
+    for d in range(24):
+        want = set()
+        for e in range(d):
+            score, lo, hi = local_alignment(split[d], split[e])
+            if hi - lo >= 50 and score >= 0.5 * (hi - lo):
+                want.update(range(lo, hi))
+        total, covered = total + len(want), covered + len(want & found[d])
+    assert total > 300 and covered >= 0.97 * total
+
+
+def test_no_seed_brings_many_rows_of_a_slice_together(spark):
+    """A passage that 300 documents share: rows of one seed that leave a slice are few, and every document is linked."""
+    rng = random.Random(23)
+    passage = words(rng, 60)
+    df = spark.createDataFrame([(i, f"{words(rng, 20)} {passage} {words(rng, 20)}") for i in range(300)], "doc_id long, text string").coalesce(2)
+    places = passages.seeds(df.withColumnRenamed("doc_id", "doc")).where(F.col("q") == passages.PLACE)
+    assert places.groupBy("h").count().agg(F.max("count")).first()[0] <= 2 * passages.MEET
+    got = passages.repeated_passages(df).groupBy("doc_id").agg(F.min("first_doc_id").alias("first")).collect()
+    assert {r["doc_id"] for r in got} == set(range(1, 300)) and all(r["first"] < r["doc_id"] for r in got)
+
+
+def test_passages_of_very_long_texts(spark):
+    rng = random.Random(24)
+    passage = words(rng, 60)
+    rows = [(1, f"{words(rng, 60000)} {passage} {words(rng, 100)}"), (2, f"{words(rng, 50)} {passage} {words(rng, 40000)}")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["start"], r["end"]) for r in got] == [(2, 50, 110)]
+
+
 def test_chains_against_all_pairs():
     rng = random.Random(6)
     for _ in range(60):
