@@ -59,6 +59,28 @@ def confidence(p: Column, v: Column, risk: Column, yes: Column, alpha: float = 0
     return F.when(yes, F.least(F.lit(1.0), 0.4 * sure + 0.3 * v + 0.3 * F.least(F.lit(1.0), risk / 3))).otherwise(0.0)
 
 
+def conditionals(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
+    """P(incident | event), P(event | incident), P(event) and P(incident), 0 where nothing is counted."""
+    n = a + b + c + d
+    return {"p_incident_given_event": share(a, a + b), "p_event_given_incident": share(a, a + c), "p_event": share(a + b, n), "p_incident": share(a + c, n)}
+
+
+def measures(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
+    """Odds ratio (infinite for b c = 0), relative risk against no event (that 0.001 at least), Cramer's V and risk difference; 0 on empty margins."""
+    with_event, without = share(a, a + b), share(c, c + d)
+    return {
+        "odds_ratio": F.when(b * c > 0, a * d / (b * c).cast("double")).otherwise(float("inf")),
+        "relative_risk": with_event / F.greatest(without, F.lit(0.001)),
+        "cramers_v": cramers_v(chi_squared(a, b, c, d), a + b + c + d),
+        "risk_difference": with_event - without,
+    }
+
+
+def sample_odds(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """The odds ratio that goes with Fisher's test: a d / (b c), infinite for b c = 0, NaN if a d is 0 as well."""
+    return F.when(b * c > 0, a * d / (b * c).cast("double")).when(a * d > 0, float("inf")).otherwise(float("nan"))
+
+
 @F.pandas_udf(DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided p of Fisher's exact test: the tables with these margins that are no likelier than this one."""
@@ -72,18 +94,12 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     return pd.Series([one(*map(int, x)) for x in zip(a, b, c, d)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def order_similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Longest common subsequence of two arrays over the longer one."""
-
-    def one(x, y) -> float:
-        if not len(x) or not len(y):
-            return 0.0
-        row = [0] * (len(y) + 1)
-        for i in x:
-            last = 0
-            for k, j in enumerate(y):
-                last, row[k + 1] = row[k + 1], last + 1 if i == j else max(row[k + 1], row[k])
-        return row[-1] / max(len(x), len(y))
-
-    return pd.Series([one(a, b) for a, b in zip(x, y)], dtype="float64")
+def order_similarity(x: Column, y: Column) -> Column:
+    """Longest common subsequence of two arrays over the longer one: a fold over x of a row of the table as long as y."""
+
+    def row_after(row: Column, item: Column) -> Column:
+        cell = lambda out, j: F.when(item == F.get(y, j - 1), F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), F.element_at(out, -1)))
+        return F.aggregate(F.sequence(F.lit(1), F.size(y)), F.array(F.lit(0)), lambda out, j: F.concat(out, F.array(cell(out, j))))
+
+    last = F.aggregate(x, F.array_repeat(F.lit(0), F.size(y) + 1), row_after)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.element_at(last, -1) / F.greatest(F.size(x), F.size(y)))

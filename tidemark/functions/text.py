@@ -119,8 +119,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(none_a & none_b, 1.0).when(none_a | none_b, 0.0).otherwise(share)
 
 
-def distinct_in_order(values: Column) -> Column:
-    return F.array_distinct(values)
+def percent(share: Column) -> Column:
+    """A share as a whole percentage, halves to the even one."""
+    return F.concat(F.bround(share * 100, 0).cast("long").cast("string"), F.lit("%"))
+
+
+def content_words(kind: Column, message: Column, metric: Column, version: Column) -> Column:
+    """What an event says: the words of more than three letters of a log's message, lower-cased, a metric's name, a deploy's version."""
+    words = F.filter(F.split(F.lower(F.coalesce(message, F.lit(""))), r"\s+"), lambda w: F.length(w) > 3)
+    one = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
+    return F.when(kind == "log", words).when(kind == "metric", one(metric)).when(kind == "deploy", one(version)).otherwise(F.array().cast("array<string>"))
 
 
 def without_repeats(values: Column) -> Column:

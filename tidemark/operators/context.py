@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import event_token
-
-from .temporal import band_join
+from tidemark.functions.text import percent
 
 #: Seconds: near the signal, and the background before it.
 NEAR, BACK_FROM, BACK_TO = 60, 600, 120
@@ -15,18 +13,12 @@ LIFT = 2.0
 ALWAYS = ("incident_signal", "deploy", "trace")
 
 
-def with_token(events: DataFrame) -> DataFrame:
-    """events with `token`; the test tables' metrics are named by tens of their trace id, their logs say nothing or time out."""
-    message = F.when(F.col("trace_id") % 3 == 0, "DB timeout").when(F.col("trace_id") % 3 == 1, "error").otherwise("")
-    return events.withColumn("token", event_token(F.col("kind"), F.floor(F.col("trace_id") / 10).cast("string"), message))
-
-
-def token_lift(signals: DataFrame, events: DataFrame, scale: float = 1.0) -> DataFrame:
-    """(signal_id, token, near, back, near_all, back_all, lift, kept): shares of a token near the signal and before, by one band join."""
-    e = with_token(events).select("cid", "token", F.col("ts").alias("e_ts"))
-    pairs = band_join(signals.select("signal_id", "anchor", "cid"), e, ["cid"], "anchor", "e_ts", BACK_FROM * scale)
-    near, back = F.col("e_ts") >= F.col("anchor") - NEAR * scale, F.col("e_ts") <= F.col("anchor") - BACK_TO * scale
-    counts = pairs.groupBy("signal_id", "token").agg(F.count_if(near).alias("near"), F.count_if(back).alias("back"))
+def token_lift(related: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(signal_id, token, near, back, near_all, back_all, lift, kept) of related events (signal_id, anchor, ts, token): shares of a token near the
+    signal and in the background before it. Events of unknown time count in neither."""
+    ago = F.col("anchor") - F.col("ts")
+    near, back = ago.between(0, NEAR * scale), ago.between(BACK_TO * scale, BACK_FROM * scale)
+    counts = related.groupBy("signal_id", "token").agg(F.count_if(near).alias("near"), F.count_if(back).alias("back"))
     whole = Window.partitionBy("signal_id")
     c = counts.withColumn("near_all", F.sum("near").over(whole)).withColumn("back_all", F.sum("back").over(whole))
     share = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
@@ -42,8 +34,11 @@ def lift_pruned(related: DataFrame, lifts: DataFrame) -> DataFrame:
 
 
 def content_tokens(related: DataFrame, most: int = 20) -> DataFrame:
-    """(signal_id, tokens): distinct words of the related events, sorted, the first `most`; related has (signal_id, words array)."""
-    return related.groupBy("signal_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))), 1, most).alias("tokens"))
+    """(signal_id, tokens): distinct words of the related events, sorted, the first `most`; related has (signal_id, words array). A signal whose
+    events say nothing has an empty array."""
+    said = related.select("signal_id", F.explode_outer("words").alias("word")).distinct()
+    rank = F.row_number().over(Window.partitionBy("signal_id").orderBy(F.col("word").asc_nulls_last()))
+    return said.withColumn("n", rank).where(F.col("n") <= most).groupBy("signal_id").agg(F.array_sort(F.collect_list("word")).alias("tokens"))
 
 
 def confidence(chain: DataFrame, roots: DataFrame) -> DataFrame:
@@ -53,17 +48,31 @@ def confidence(chain: DataFrame, roots: DataFrame) -> DataFrame:
     return chain.join(boost, "start", "left").select("start", F.least(F.lit(0.99), F.col("confidence") + F.coalesce("boost", F.lit(0.0))).alias("confidence"))
 
 
+# The sentences of an explanation and the headings of a narrative.
 def explanation(service, cid, anchor, related, root, root_confidence, best, similarity, action, rate):
     """The template text of a context, from columns; parts whose columns are null are left out."""
     return F.concat_ws(
         " ",
         F.format_string("Incident detected on %s (canonical ID: %s) at %s. %d related events found.", service, cid, anchor, related),
-        F.when(root.isNotNull(), F.format_string("Root cause: %s (confidence %.0f%%).", root, root_confidence * 100)),
-        F.when(best.isNotNull(), F.format_string("Matches past incident %s (sim=%.0f%%).", best, similarity * 100)),
-        F.when(action.isNotNull(), F.format_string("Suggested remediation: %s (historical success rate: %.0f%%).", action, rate * 100)).otherwise("No remediation history."),
+        F.when(root.isNotNull(), F.concat(F.lit("Root cause: "), root, F.lit(" (confidence "), percent(root_confidence), F.lit(")."))),
+        F.when(best.isNotNull(), F.concat(F.lit("Matches past incident "), best, F.lit(" (sim="), percent(similarity), F.lit(")."))),
+        F.when(action.isNotNull(), F.concat(F.lit("Suggested remediation: "), action, F.lit(" (historical success rate: "), percent(rate), F.lit(")."))).otherwise("No remediation history."),
     )
 
 
+def sureness(confidence: Column) -> Column:
+    """A confidence in a word."""
+    return F.when(confidence >= 0.85, "high").when(confidence >= 0.70, "moderate").otherwise("low")
+
+
+def narrative(title, summary, events, chain, root, similar, action, confidence) -> Column:
+    """A report of eight sections from columns; a section without anything to say says so."""
+    said = [("Incident", title), ("Summary", summary), ("Related events", events), ("Causal chain", chain), ("Root cause", root), ("Similar incidents", similar), ("Suggested remediation", action)]
+    parts = [F.concat(F.lit(f"## {head}\n"), F.coalesce(body.cast("string"), F.lit("unknown"))) for head, body in said]
+    sure = F.concat(F.lit("## Confidence\n"), percent(confidence), F.lit(" ("), sureness(confidence), F.lit(")"))
+    return F.concat_ws("\n", *parts, sure)
+
+
 def explained(row: dict, ask=None, seconds: float = 6.0) -> str:
     """The template text of a context row, or what `ask(prompt)` says of it within `seconds`; any failure falls back to the template."""
     text = row["explanation"]

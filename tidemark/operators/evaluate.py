@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SURE = 0.5
+#: Equal parts of a group's range between which exact ranks are sought.
+PARTS = 4096
 
 
 def confusion(p: DataFrame) -> DataFrame:
@@ -41,33 +43,44 @@ def precision_by_family(p: DataFrame) -> DataFrame:
     return g.agg(F.count("*").alias("n"), F.count_if(F.col("first") == F.col("truth")).alias("rank1"), F.count_if(F.col("hits") > 0).alias("found"), F.round(F.avg(F.col("hits") / F.least(F.lit(5), F.col("n"))), 6).alias("precision"), F.round(F.avg((F.col("hits") > 0).cast("double")), 6).alias("recall"))
 
 
-def losses(p: DataFrame) -> DataFrame:
-    """(incident_id, truth, category, loss) of incidents that lose something: the recall, the first rank, or a decoy taken for real."""
+def losses(p: DataFrame, remedies: DataFrame | None = None) -> DataFrame:
+    """(incident_id, truth, category, loss) of incidents that lose something, each for one reason: its family is not among the five, the first is right
+    but the remedy is not the expected one (remedies: incident_id, expected, action), another family is first, or a decoy is taken for real."""
     b = by_incident(p)
-    category = F.when(F.col("truth").isNull(), F.when(F.col("similarity") >= SURE, "decoy_false_positive")).when(F.col("hits") == 0, "recall_miss").when(F.col("first") != F.col("truth"), "contamination")
+    cured = F.lit(True)
+    if remedies is not None:
+        b = b.join(remedies.select("incident_id", "expected", "action"), "incident_id", "left")
+        cured = F.col("expected").isNull() | F.coalesce(F.col("action") == F.col("expected"), F.lit(False))
+    decoy = F.when(F.col("similarity") >= SURE, "decoy_false_positive")
+    category = F.when(F.col("truth").isNull(), decoy).when(F.col("hits") == 0, "recall_miss").when((F.col("first") == F.col("truth")) & ~cured, "remediation_mismatch").when(F.col("first") != F.col("truth"), "contamination")
     loss = F.when(category == "recall_miss", 0.30).when(category == "contamination", 0.15).otherwise(0.20)
     return b.withColumn("category", category).where("category is not null").select("incident_id", "truth", "category", loss.alias("loss"))
 
 
-def loss_breakdown(p: DataFrame) -> DataFrame:
-    return losses(p).groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum("loss"), 6).alias("total"), F.round(F.avg("loss"), 6).alias("mean"))
+def loss_breakdown(p: DataFrame, remedies: DataFrame | None = None) -> DataFrame:
+    return losses(p, remedies).groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum("loss"), 6).alias("total"), F.round(F.avg("loss"), 6).alias("mean"))
 
 
-def loss_by_family(p: DataFrame) -> DataFrame:
+def loss_by_family(p: DataFrame, remedies: DataFrame | None = None) -> DataFrame:
+    """(truth, n, lost, rate, categories): of each true family how many incidents lost something, and why, as category=count by name."""
     every = by_incident(p).groupBy("truth").agg(F.count("*").alias("n"))
-    lost = losses(p).groupBy("truth").agg(F.count("*").alias("lost"))
+    why = losses(p, remedies).groupBy("truth", "category").agg(F.count("*").alias("c"))
+    lost = why.groupBy("truth").agg(F.sum("c").alias("lost"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "category", F.col("c").cast("string")))), ",").alias("categories"))
     out = every.alias("e").join(lost.alias("l"), F.col("e.truth").eqNullSafe(F.col("l.truth")), "left")
-    return out.select("e.truth", "n", F.coalesce("lost", F.lit(0).cast("long")).alias("lost"), F.round(F.coalesce("lost", F.lit(0)) / F.col("n"), 6).alias("rate"))
+    return out.select("e.truth", "n", F.coalesce("lost", F.lit(0).cast("long")).alias("lost"), F.round(F.coalesce("lost", F.lit(0)) / F.col("n"), 6).alias("rate"), F.coalesce("categories", F.lit("")).alias("categories"))
 
 
-def top_failures(p: DataFrame, k: int = 20) -> DataFrame:
-    return losses(p).select("incident_id", "category", "loss").orderBy(F.desc("loss"), "incident_id").limit(k)
+def top_failures(p: DataFrame, k: int = 20, remedies: DataFrame | None = None) -> DataFrame:
+    return losses(p, remedies).select("incident_id", "category", "loss").orderBy(F.desc("loss"), "incident_id").limit(k)
 
 
 def calibration(p: DataFrame) -> DataFrame:
+    """One row: how many incidents were first wrong with a similarity of SURE or right below it, the mean similarities, 0 without any, and how far these are apart."""
     b = by_incident(p).where("truth is not null").withColumn("right", F.col("first") == F.col("truth"))
     s = F.col("similarity")
-    return b.agg(F.count_if(~F.col("right") & (s >= 0.8)).alias("sure_and_wrong"), F.count_if(F.col("right") & (s < 0.5)).alias("unsure_and_right"), F.round(F.avg(F.when(F.col("right"), s)), 6).alias("mean_right"), F.round(F.avg(F.when(~F.col("right"), s)), 6).alias("mean_wrong"))
+    c = b.agg(F.count_if(~F.col("right") & (s >= SURE)).alias("sure_and_wrong"), F.count_if(F.col("right") & (s < SURE)).alias("unsure_and_right"), F.avg(F.when(F.col("right"), s)).alias("r"), F.avg(F.when(~F.col("right"), s)).alias("w"))
+    none = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
+    return c.select("sure_and_wrong", "unsure_and_right", none(F.col("r")).alias("mean_right"), none(F.col("w")).alias("mean_wrong"), none(F.col("r") - F.col("w")).alias("separation"))
 
 
 def decoy_analysis(p: DataFrame) -> DataFrame:
@@ -153,6 +166,37 @@ def remedy_mismatches(remedies: DataFrame, by: str | None = None, sure: float =
     )
 
 
+def quality(p: DataFrame, remedies: DataFrame) -> DataFrame:
+    """One row: recall@5 (the true family is among the five), precision@5 (the mean share of it) and remediation accuracy, over incidents that are no decoys."""
+    b = by_incident(p).where("truth is not null").join(remedies.select("incident_id", "expected", "action"), "incident_id", "left")
+    right = F.avg(F.when(F.col("expected").isNotNull(), F.coalesce(F.col("action") == F.col("expected"), F.lit(False)).cast("double")))
+    return b.agg(F.count("*").alias("incidents"), F.round(F.avg((F.col("hits") > 0).cast("double")), 6).alias("recall"), F.round(F.avg(F.col("hits") / F.least(F.lit(5), F.col("n"))), 6).alias("precision"), F.round(right, 6).alias("remediation"))
+
+
+def exclusive_quantile(rows: DataFrame, by: str, value: str, part: int = 95, of: int = 100, least: int = 20) -> DataFrame:
+    """(by, n, quantile) of each group's values: the part-th of `of` quantiles of the exclusive kind, interpolated at part * (n + 1) / of; the largest
+    value of groups below `least`. Nulls and NaN do not count.
+
+    Exact, but no task gets a whole group: counts in PARTS equal parts of the group's range tell where the two values that are needed lie, and only
+    the values there are ranked.
+    """
+    v = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(by, F.col(value).cast("double").alias("v"))
+    span = v.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    place = F.floor(F.lit(part) * (F.col("n") + 1) / of)
+    span = span.withColumn("j", F.least(F.greatest(place, F.lit(1)), F.col("n") - 1)).withColumn("delta", F.lit(part) * (F.col("n") + 1) - F.col("j") * of)
+    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(PARTS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS))).otherwise(0)
+    dealt = v.alias("v").join(span.alias("s"), F.col(f"v.{by}").eqNullSafe(F.col(f"s.{by}"))).select(f"v.{by}", "v", "lo", "hi", "n", "j", "delta").withColumn("cell", cell)
+    cells = dealt.groupBy(by, "cell", "j", "n").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("before", before).where("before < j + 1 and before + c >= j").select(F.col(by).alias("__of"), F.col("cell").alias("__cell"), "before")
+    near = dealt.join(cells, F.col(by).eqNullSafe(F.col("__of")) & (F.col("cell") == F.col("__cell")))
+    near = near.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy(by, "cell").orderBy("v")))
+    low, high = (F.max(F.when(F.col("rank") == F.col("j") + d, F.col("v"))) for d in (0, 1))
+    out = near.groupBy(by).agg(F.first("n").alias("n"), F.first("hi").alias("hi"), F.first("delta").alias("delta"), low.alias("low"), high.alias("high"))
+    tween = (F.col("low") * (of - F.col("delta")) + F.col("high") * F.col("delta")) / of
+    return out.select(by, "n", F.when(F.col("n") < least, F.col("hi")).otherwise(tween).alias("quantile"))
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """One row over (success, latency_ms, confidence): pass rate and means, 0 where nothing is known; a null success is a failure."""
     ok = F.count_if(F.coalesce("success", F.lit(False)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import service_id
 from tidemark.session import cut
 
 from .temporal import asof_join, band_join
@@ -94,25 +95,60 @@ def chain_confidence(chain: DataFrame) -> DataFrame:
     return chain.groupBy("start").agg(F.sum("times").alias("edges"), (F.sum(F.col("times") * F.col("confidence")) / F.sum("times")).alias("confidence"))
 
 
-def root_causes(starts: DataFrame, edges: DataFrame, max_hops: int = 3, min_confidence: float = 0.25) -> DataFrame:
-    """(start, cid, hops, confidence): nodes of a start's graph without an incoming edge (else with one, the start excepted), with the mean
-    confidence of the directed shortest path to the start. Of equally short paths the least in code-point order counts."""
+def ordered_chain(chain: DataFrame) -> DataFrame:
+    """A chain with the place of each edge in it: by first sight, then by source and destination."""
+    return chain.withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy("first_seen", "src", "dst")))
+
+
+def shown_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges as they are told: ids by their current names (cid, name) where there is one, confidence to three decimals."""
+    n = names.select("cid", "name")
+    out = edges.join(n.select(F.col("cid").alias("src"), F.col("name").alias("src_name")), "src", "left").join(n.select(F.col("cid").alias("dst"), F.col("name").alias("dst_name")), "dst", "left")
+    return out.withColumn("cause", F.coalesce("src_name", "src")).withColumn("effect", F.coalesce("dst_name", "dst")).withColumn("confidence", F.round("confidence", 3)).drop("src_name", "dst_name")
+
+
+def edge_of(edges: DataFrame, src: str, dst: str, relation: str | None = None) -> DataFrame:
+    """The edge between two ids, none if a relation is given and it has another."""
+    out = edges.where((F.col("src") == src) & (F.col("dst") == dst))
+    return out if relation is None else out.where(F.col("relation") == relation)
+
+
+def root_causes(starts: DataFrame, edges: DataFrame, evidence: DataFrame | None = None, deploys: DataFrame | None = None, max_hops: int = 3, min_confidence: float = 0.25) -> DataFrame:
+    """(start, cid, hops, confidence, evidence_count, earliest, path, rank): nodes of a start's graph without an incoming edge (else with one, the
+    start excepted) that a directed path leads from to the start.
+
+    The shortest path counts, of equally short ones the least in code-point order: the mean of its confidences, the distinct evidence
+    (src, dst, evidence) of its edges, and the earliest first sight of one, or the source's latest deploy (cid, ts) if that was earlier.
+    Ranked by confidence to three decimals, then by hops and id. Without evidence or deploys the counts are 0 and the times those of the edges.
+    """
     graph = cut(causal_chain(starts, edges, max_hops, min_confidence).drop("times"))
     nodes = graph.select("start", F.col("src").alias("cid")).union(graph.select("start", "dst")).union(starts.select(F.col("cid").alias("start"), "cid")).distinct()
     degree = graph.groupBy("start", F.col("dst").alias("cid")).agg(F.count("*").alias("n"))
     nodes = nodes.join(degree, ["start", "cid"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     lone = F.max((F.col("n") == 0).cast("int")).over(Window.partitionBy("start"))
     roots = nodes.withColumn("lone", lone).where("(lone = 1 and n = 0) or (lone = 0 and n <= 1 and cid <> start)").select("start", "cid")
-    paths = starts.select(F.col("cid").alias("start"), F.col("cid").alias("at"), F.array("cid").alias("path"), F.lit(0).alias("hops"), F.lit(0.0).alias("total")).distinct()
+    blank = F.lit(None).cast("double")
+    paths = starts.select(F.col("cid").alias("start"), F.col("cid").alias("at"), F.array("cid").alias("path"), F.lit(0).alias("hops"), F.lit(0.0).alias("total"), blank.alias("earliest")).distinct()
     known = paths
     for h in range(1, max_hops + 2):
         step = paths.alias("p").join(graph.alias("g"), (F.col("p.start") == F.col("g.start")) & (F.col("p.at") == F.col("g.dst"))).where("src <> dst")
-        step = step.select("p.start", F.col("src").alias("at"), F.concat(F.array("src"), "path").alias("path"), F.lit(h).alias("hops"), (F.col("total") + F.col("confidence")).alias("total"))
-        step = step.groupBy("start", "at").agg(F.min_by(F.struct("path", "hops", "total"), "path").alias("b")).select("start", "at", "b.*")
+        step = step.select("p.start", F.col("src").alias("at"), F.concat(F.array("src"), "path").alias("path"), F.lit(h).alias("hops"), (F.col("total") + F.col("confidence")).alias("total"), F.least("earliest", "first_seen").alias("earliest"))
+        step = step.groupBy("start", "at").agg(F.min_by(F.struct("path", "hops", "total", "earliest"), "path").alias("b")).select("start", "at", "b.*")
         paths = cut(step.join(known.select("start", "at"), ["start", "at"], "left_anti"))
         known = known.unionByName(paths)
-    found = roots.join(known.select("start", F.col("at").alias("cid"), "hops", "total"), ["start", "cid"])
-    return found.select("start", "cid", F.col("hops").cast("long").alias("hops"), F.when(F.col("hops") > 0, F.col("total") / F.col("hops")).otherwise(0.0).alias("confidence"))
+    found = roots.join(known.withColumnRenamed("at", "cid"), ["start", "cid"])
+    if evidence is not None:
+        steps = found.select("start", "cid", F.explode(F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path")), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("e"))
+        of = steps.select("start", "cid", "e.src", "e.dst").join(evidence.select("src", "dst", "evidence").distinct(), ["src", "dst"])
+        found = found.join(of.groupBy("start", "cid").agg(F.count_distinct("evidence").alias("evidence_count")), ["start", "cid"], "left")
+    else:
+        found = found.withColumn("evidence_count", F.lit(0).cast("long"))
+    if deploys is not None:
+        found = found.join(deploys.groupBy("cid").agg(F.max("ts").alias("deployed")), "cid", "left").withColumn("earliest", F.least("earliest", "deployed"))
+    sure = F.when(F.col("hops") > 0, F.col("total") / F.col("hops")).otherwise(0.0)
+    found = found.select("start", "cid", F.col("hops").cast("long").alias("hops"), sure.alias("confidence"), F.coalesce("evidence_count", F.lit(0).cast("long")).alias("evidence_count"), "earliest", "path")
+    rank = F.row_number().over(Window.partitionBy("start").orderBy(F.desc(F.round(F.col("confidence") + 1e-9, 3)), "hops", "cid"))
+    return found.withColumn("rank", rank.cast("long"))
 
 
 def compare(sides: DataFrame, edges: DataFrame, max_hops: int = 3, min_confidence: float = 0.25) -> DataFrame:
@@ -144,15 +180,61 @@ def decay_linear(confidence: Column, last: Column, now: Column) -> Column:
     return F.greatest(F.lit(FLOOR), confidence - 0.01 * F.abs(now - last) / DAY)
 
 
-def reinforced(edges: DataFrame, resolved: DataFrame, max_hops: int = 2) -> DataFrame:
-    """edges with `times` and the confidence after every resolved remediation (cid, ts) of a service whose chain has the edge by then."""
+def decayed_out(edges: DataFrame, nodes: DataFrame, now: Column) -> DataFrame:
+    """edges with the linear decay applied to those that go out from the nodes (cid), and whether it changed anything."""
+    out = edges.join(nodes.select(F.col("cid").alias("src"), F.lit(True).alias("mine")).distinct(), "src", "left")
+    new = F.when(F.col("mine"), decay_linear(F.col("confidence"), F.col("last_seen"), now)).otherwise(F.col("confidence"))
+    return out.withColumn("changed", F.coalesce(new != F.col("confidence"), F.lit(False))).withColumn("confidence", new).drop("mine")
+
+
+def _reached(edges: DataFrame, resolved: DataFrame, max_hops: int) -> DataFrame:
+    """(cid, src, dst, ts, n): edges of a service's chain that were there when n of its remediations resolved at ts."""
     by = resolved.groupBy("cid", "ts").agg(F.count("*").alias("n"))
     chain = causal_chain(by.select("cid").distinct(), edges, max_hops, 0.0).select(F.col("start").alias("cid"), "src", "dst", "first_seen")
-    hits = chain.join(by, "cid").where("ts >= first_seen").groupBy("src", "dst").agg(F.sum("n").alias("times"))
+    return chain.join(by, "cid").where("ts >= first_seen").drop("first_seen")
+
+
+def reinforced(edges: DataFrame, resolved: DataFrame, max_hops: int = 2) -> DataFrame:
+    """edges with `times` and the confidence after every resolved remediation (cid, ts) of a service whose chain has the edge by then."""
+    hits = _reached(edges, resolved, max_hops).groupBy("src", "dst").agg(F.sum("n").alias("times"))
     out = edges.join(hits, ["src", "dst"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     return out.withColumn("confidence", F.least(F.lit(CAP), F.col("confidence") + F.lit(STEP) * F.col("times")))
 
 
+def provenance(edges: DataFrame, resolved: DataFrame, max_hops: int = 2) -> DataFrame:
+    """(src, dst, cid, ts, old, new): by which service's resolved remediations an edge was reinforced, in order, and from what to what."""
+    hits = _reached(edges, resolved, max_hops)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("src", "dst").orderBy("ts", "cid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hits = hits.withColumn("before", before).join(edges.select("src", "dst", "confidence"), ["src", "dst"])
+    at = lambda n: F.least(F.lit(CAP), F.col("confidence") + F.lit(STEP) * n)
+    return hits.select("src", "dst", "cid", "ts", at(F.col("before")).alias("old"), at(F.col("before") + F.col("n")).alias("new"))
+
+
+def deploy_state(events: DataFrame) -> DataFrame:
+    """(cid, deploys, last, version): what the deploy tracker holds of each service, the latest by time, then by id."""
+    d = events.where("kind = 'deploy'")
+    return d.groupBy("cid").agg(F.count("*").alias("deploys"), F.max("ts").alias("last"), F.max_by("version", F.struct("ts", "event_id")).alias("version"))
+
+
+def remediation_history(events: DataFrame, cids: DataFrame | None = None) -> DataFrame:
+    """(cid, event_id, ts, action, outcome) of remediations, of all or of some ids (cid)."""
+    out = events.where("kind = 'remediation'").select("cid", "event_id", "ts", "action", "outcome")
+    return out if cids is None else out.join(cids.select("cid").distinct(), "cid", "left_semi")
+
+
+def open_incidents(events: DataFrame) -> DataFrame:
+    """(cid, signal_id, opened): signals that no remediation of their service has followed."""
+    last = events.where("kind = 'remediation'").groupBy("cid").agg(F.max("ts").alias("fixed"))
+    s = events.where("kind = 'incident_signal'").select("cid", F.col("event_id").alias("signal_id"), F.col("ts").alias("opened"))
+    return s.join(last, "cid", "left").where("fixed is null or fixed < opened").drop("fixed")
+
+
+def span_calls(events: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(event_id, ts, src, dst) of traces (event_id, ts, cid, spans): each span's service by its name (name, cid), an id of its own if unknown."""
+    calls = events.where("kind = 'trace'").select("event_id", "ts", F.col("cid").alias("src"), F.explode("spans").alias("span")).withColumn("name", F.col("span.svc")).where("name is not null")
+    return calls.join(resolved.select("name", F.col("cid").alias("known")), "name", "left").select("event_id", "ts", "src", F.coalesce("known", service_id(F.col("name"))).alias("dst")).distinct()
+
+
 def confidence_histogram(edges: DataFrame, bins: int = 20) -> DataFrame:
     """(relation, bin, n): edges by relation and by equal parts of [0, 1]; 1 itself belongs to the last."""
     part = F.least(F.lit(bins), F.width_bucket("confidence", F.lit(0.0), F.lit(1.0), F.lit(bins)))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import family_of
 
+from .options import DEFAULT, Options
+
 
 def _order() -> list[Column]:
     return [F.desc("similarity"), F.col("seq")]
@@ -32,12 +34,16 @@ def smart_top(matches: DataFrame, k: int = 5, sure: float = 0.5) -> DataFrame:
 
 
 def suggested_actions(matches: DataFrame, history: DataFrame, k: int = 3) -> DataFrame:
-    """(signal_id, action, rate, confidence, rank): the first match of each action by similarity, times its success rate (0.5 without history)."""
+    """(signal_id, cid, action, seq, rate, confidence, rank): the first match of each action by similarity, times its success rate on the signal's service.
+
+    matches has the signal's cid, history is (cid, action, outcome); an action that the service has no history of has a rate of 0.5.
+    """
     first = ranked(matches.where("action <> ''"), ["signal_id", "action"], "n").where("n = 1")
-    rate = history.groupBy("action").agg(F.avg((F.col("outcome") == "resolved").cast("double")).alias("rate"))
-    out = first.join(F.broadcast(rate), "action", "left").withColumn("rate", F.coalesce("rate", F.lit(0.5)))
+    rate = history.groupBy("cid", "action").agg(F.avg((F.col("outcome") == "resolved").cast("double")).alias("rate"))
+    out = first.join(rate, ["cid", "action"], "left").withColumn("rate", F.coalesce("rate", F.lit(0.5)))
     out = out.withColumn("confidence", F.col("similarity") * F.col("rate"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("signal_id").orderBy(F.desc("confidence"), F.desc("similarity"), "seq"))).where(F.col("rank") <= k).select("signal_id", "action", "rate", "confidence", "rank")
+    order = [F.desc(F.round(F.col("confidence") + 1e-9, 3)), F.desc("similarity"), "seq"]
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("signal_id").orderBy(*order))).where(F.col("rank") <= k).select("signal_id", "cid", "action", "seq", "rate", "confidence", "rank")
 
 
 def family_posteriors(matches: DataFrame) -> DataFrame:
@@ -62,6 +68,25 @@ def diversified(matches: DataFrame, each: int = 2, k: int = 5) -> DataFrame:
     return m.withColumn("rank", F.row_number().over(Window.partitionBy("signal_id").orderBy("family_rank", "f"))).where(F.col("rank") <= k)
 
 
+def family_best(matches: DataFrame, each: int = 1, k: int = 5, by_first: bool = False) -> DataFrame:
+    """Up to `each` matches of every family and k of all; families in the order of their best similarity, or (by_first) of their first match by seq."""
+    m = ranked(matches.withColumn("family", family_of(F.col("incident_id"))), ["signal_id", "family"], "f")
+    whole = Window.partitionBy("signal_id", "family")
+    lead = [F.min("seq").over(whole)] if by_first else [-F.max("similarity").over(whole), F.min(F.when(F.col("f") == 1, F.col("seq"))).over(whole)]
+    m = m.withColumn("lead", F.struct(*[c.alias(f"l{i}") for i, c in enumerate(lead)])).where(F.col("f") <= each)
+    return m.withColumn("rank", F.row_number().over(Window.partitionBy("signal_id").orderBy("lead", "f"))).where(F.col("rank") <= k).drop("lead", "f")
+
+
+def family_diversity(matches: DataFrame) -> DataFrame:
+    """(signal_id, families, n, diversity): distinct families among a signal's matches, and their share."""
+    m = matches.withColumn("family", family_of(F.col("incident_id")))
+    return m.groupBy("signal_id").agg(F.count_distinct("family").alias("families"), F.count("*").alias("n")).withColumn("diversity", F.round(F.col("families") / F.col("n"), 6))
+
+
+def same_family(a: Column, b: Column) -> Column:
+    return family_of(a) == family_of(b)
+
+
 def family_safe() -> Column:
     """Whether a match may enter the precise stage."""
     weak = ~(F.col("has_deploy") & F.col("has_metric") & F.col("has_trace_log"))
@@ -112,12 +137,18 @@ def beta_posterior(s: Column, n: Column, similarity: Column) -> Column:
 
 
 def action_posteriors(matches: DataFrame, least: int = 2) -> DataFrame:
-    """(signal_id, action, successes, total, similarity, posterior, label) of actions tried `least` times."""
-    g = matches.where("action <> ''").groupBy("signal_id", "action").agg(F.count_if(F.col("outcome") == "resolved").alias("successes"), F.count("*").alias("total"), F.avg("similarity").alias("similarity"))
+    """(signal_id, action, successes, total, similarity, posterior, label, target) of actions tried `least` times; target is the commonest one
+    (the least of equals), null where matches have none."""
+    rows = matches.where("action <> ''")
+    g = rows.groupBy("signal_id", "action").agg(F.count_if(F.col("outcome") == "resolved").alias("successes"), F.count("*").alias("total"), F.avg("similarity").alias("similarity"))
     # A nudge before rounding keeps exact halves from going either way by the last bit of a sum.
     p = F.round(beta_posterior(F.col("successes"), F.col("total"), F.col("similarity")) + 1e-9, 6)
     g = g.where(F.col("total") >= least).withColumn("posterior", p).withColumn("similarity", F.round("similarity", 6))
-    return g.withColumn("label", F.when(F.col("posterior") >= 0.6, "resolved").otherwise("uncertain"))
+    g = g.withColumn("label", F.when(F.col("posterior") >= 0.6, "resolved").otherwise("uncertain"))
+    if "target" not in matches.columns:
+        return g.withColumn("target", F.lit(None).cast("string"))
+    often = rows.groupBy("signal_id", "action", "target").agg(F.count("*").alias("n")).groupBy("signal_id", "action").agg(F.min_by("target", F.struct((-F.col("n")).alias("n"), "target")).alias("target"))
+    return g.join(often, ["signal_id", "action"], "left")
 
 
 def family_outcomes(matches: DataFrame) -> DataFrame:
@@ -129,14 +160,32 @@ def family_outcomes(matches: DataFrame) -> DataFrame:
 
 
 def suppressed(matches: DataFrame, policy: DataFrame) -> DataFrame:
-    """matches of decoy signals with similarity capped, by decoy_policy(); a signal without a policy stays as it is."""
-    out = matches.join(policy.select("signal_id", "cap"), "signal_id", "left")
-    return out.withColumn("similarity", F.round(F.least("similarity", F.coalesce("cap", F.lit(1.0))), 3)).drop("cap")
-
-
-def post_processed(matches: DataFrame, policy: DataFrame, k: int = 5) -> DataFrame:
-    """Decoy suppression, two stages, then k matches diversified over families."""
-    return diversified(two_stage(suppressed(matches, policy), k=2 * k).drop("rank", "stage"), k=k)
+    """matches of decoy signals with similarity capped and, if they have it, confidence multiplied, by decoy_policy(); a signal without a policy stays."""
+    out = matches.join(policy.select("signal_id", "cap", "multiplier"), "signal_id", "left")
+    out = out.withColumn("similarity", F.round(F.least("similarity", F.coalesce("cap", F.lit(1.0))), 3))
+    if "confidence" in matches.columns:
+        out = out.withColumn("confidence", F.round(F.col("confidence") * F.coalesce("multiplier", F.lit(1.0)) + 1e-9, 3))
+    return out.select(matches.columns)
+
+
+def post_processed(matches: DataFrame, policy: DataFrame, suggested: DataFrame, options: Options = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(matches, actions) of every signal: decoy suppression, two stages, actions ranked by their posteriors, one match of each family.
+
+    suggested (signal_id, action, confidence) is suppressed alike and stands where the matches have no ranked action. The switches of `options` leave
+    steps out.
+    """
+    m, fallback = matches, suggested.select("signal_id", "action", "confidence")
+    if options.use_decoy_suppression:
+        m, fallback = suppressed(m, policy), suppressed(fallback.withColumn("similarity", F.lit(0.0)), policy).drop("similarity")
+    if options.use_two_stage:
+        m = two_stage(m, options.stage_a_threshold, options.stage_b_threshold, options.min_stage_a, options.max_results).drop("rank", "stage")
+    actions = fallback
+    if options.use_remediation_optimizer:
+        best = action_posteriors(m, options.min_history).select("signal_id", "action", F.col("posterior").alias("confidence"))
+        actions = best.unionByName(fallback.join(best.select("signal_id").distinct(), "signal_id", "left_anti"))
+    if options.use_family_rep:
+        m = family_best(m, 1, options.max_results)
+    return m, actions
 
 
 def representatives(matches: DataFrame) -> DataFrame:

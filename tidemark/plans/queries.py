@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as S
-from tidemark.functions.text import action_label, event_type_of, family_number, family_of, infer_role, relation_role
+from tidemark.functions.text import action_label, content_words, event_type_of, family_number, family_of, infer_role, relation_role
+from tidemark.operators import association as A
 from tidemark.operators import context as X
 from tidemark.operators import evaluate as V
 from tidemark.operators import experiments as P
@@ -15,30 +18,11 @@ from tidemark.operators import identity as I
 from tidemark.operators import motifs as M
 from tidemark.operators import retrieval as R
 from tidemark.operators import temporal as T
-
-from tidemark.session import cut
+from tidemark.session import cut, kept, own_dir
+from tidemark.streaming import state as Z
 
 from . import views as W
-from .views import TIME_SCALE, matches, ops, predictions, remedies, renames, seed_runs, signals, table
-
-HOUR = 3600.0 * TIME_SCALE
-
-
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each click of user u calls user (7 u + trace id) modulo the number of users, a second later."""
-    e = ops(spark, sf_dir)
-    users = e.agg((F.max("user_id") + 1).alias("users"))
-    called = W.service_id(F.concat(F.lit("svc-"), ((F.col("user_id") * 7 + F.col("trace_id")) % F.col("users")).cast("string")))
-    return e.where("kind = 'trace'").crossJoin(F.broadcast(users)).select("event_id", "ts", called.alias("dst"), F.col("cid").alias("src"))
-
-
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ops(spark, sf_dir)
-    return G.deploy_edges(e, HOUR).unionByName(G.upstream_edges(spans(spark, sf_dir))).unionByName(G.incident_log_edges(e, HOUR))
-
-
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.roll_up(observations(spark, sf_dir))
+from .views import HOUR, TIME_SCALE, edges, matches, names, observations, ops, predictions, remedies, rename_log, seed_runs, signals, table, with_token
 
 
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +33,10 @@ def _pruned(e: DataFrame) -> DataFrame:
     return e.select("src", "dst", "relation", "count", F.round("confidence", 6).alias("confidence"), "evidence_count")
 
 
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops(spark, sf_dir).where("kind = 'remediation' and outcome = 'resolved'").select("cid", "ts")
+
+
 def q_event_count(spark, d):
     return ops(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -64,41 +52,81 @@ def q_adaptive_window(spark, d):
     return T.adaptive_window(signals(e), e, TIME_SCALE).select("signal_id", "width")
 
 
+def related(spark, d) -> DataFrame:
+    """Related events of every signal, with their tokens."""
+    e = with_token(ops(spark, d))
+    return T.related_events(signals(e), e, G.neighbours(edges(spark, d)), TIME_SCALE)
+
+
 def q_related_window(spark, d):
+    return related(spark, d).groupBy("signal_id").agg(F.count("*").alias("n"), F.count_if(F.col("via") == 0).alias("n_own"), F.count_if(F.col("via") == 1).alias("n_trace"), F.count_if(F.col("via") == 2).alias("n_near"), F.sum("event_id").alias("id_sum"))
+
+
+def _traced(spark, d, as_of: bool) -> DataFrame:
     e = ops(spark, d)
-    r = T.related_events(signals(e), e, G.neighbours(edges(spark, d)), TIME_SCALE)
-    return r.groupBy("signal_id").agg(F.count("*").alias("n"), F.count_if(F.col("via") == 0).alias("n_own"), F.count_if(F.col("via") == 1).alias("n_trace"), F.count_if(F.col("via") == 2).alias("n_near"), F.sum("event_id").alias("id_sum"))
+    s = signals(e)
+    r = T.related_events(s, e, G.neighbours(edges(spark, d)).where("false"), TIME_SCALE, as_of).where("via = 1").join(s.select("signal_id", "cid"), "signal_id")
+    return r.groupBy("signal_id").agg(F.count("*").alias("n"), F.count_if(F.col("e_cid") != F.col("cid")).alias("n_other"), F.max("event_id").alias("last_event"))
 
 
 def q_trace_correlation(spark, d):
-    e = ops(spark, d)
-    r = T.related_events(signals(e), e, G.neighbours(edges(spark, d)).where("false"), TIME_SCALE)
-    return r.where("via = 1").groupBy("signal_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
+    """Events that share a trace with a signal's own, across services, of any time."""
+    return _traced(spark, d, False)
+
+
+def q_trace_as_of(spark, d):
+    return _traced(spark, d, True)
 
 
 def q_lift_prune(spark, d):
-    e = ops(spark, d)
-    return X.token_lift(signals(e), e.where(F.col("kind").isin(*T.RELEVANT)), TIME_SCALE).select("signal_id", "token", "near", "back", "lift", "kept")
+    return X.token_lift(related(spark, d), TIME_SCALE).select("signal_id", "token", "near", "back", "lift", "kept")
+
+
+def q_lift_pruned(spark, d):
+    """What the prune leaves of a signal's related events."""
+    r = cut(related(spark, d).select("signal_id", "anchor", "event_id", "ts", "token"))
+    left = X.lift_pruned(r, X.token_lift(r, TIME_SCALE)).groupBy("signal_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
+    return r.groupBy("signal_id").agg(F.count("*").alias("n_before")).join(left, "signal_id", "left").select("signal_id", "n_before", "n", "id_sum")
+
+
+def tokens_before(at: DataFrame, e: DataFrame) -> DataFrame:
+    """(signal_id, tokens) of what the service said in the hour up to each (signal_id, anchor, cid)."""
+    said = e.select("cid", "ts", content_words(F.col("kind"), F.col("message"), F.col("metric"), F.col("version")).alias("words"))
+    return X.content_tokens(T.band_join(at.select("signal_id", "anchor", "cid"), said, ["cid"], "anchor", "ts", HOUR).select("signal_id", "words"))
 
 
 def q_content_tokens(spark, d):
     e = ops(spark, d)
-    near = T.band_join(signals(e).select("signal_id", "anchor", "cid"), X.with_token(e).select("cid", "token", "ts"), ["cid"], "anchor", "ts", HOUR)
-    return X.content_tokens(near.select("signal_id", F.array("token").alias("words"))).select("signal_id", F.array_join("tokens", ",").alias("tokens"))
+    return tokens_before(signals(e), e).select("signal_id", F.array_join("tokens", ",").alias("tokens"))
+
+
+def q_identity_events(spark, d):
+    """Every event with the name it comes under and what that name means at the time."""
+    return ops(spark, d).select("event_id", "service", "cid")
 
 
 def q_rename_resolve(spark, d):
-    return I.current_ids(renames(spark, d))
+    return I.current_ids(rename_log(spark, d))
+
+
+def q_rename_history(spark, d):
+    return I.rename_history(rename_log(spark, d))
 
 
 def q_alias_history(spark, d):
-    a = I.aliases(renames(spark, d))
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda s: s["name"]), ",")
-    return a.groupBy("cid").agg(names.alias("names"), F.count("*").alias("n"))
+    a = names(spark, d)
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda s: s["name"]), ",")
+    return a.groupBy("cid").agg(said.alias("names"), F.count("*").alias("n"))
 
 
 def q_current_name(spark, d):
-    return I.current_names(I.aliases(renames(spark, d)))
+    return I.current_names(names(spark, d))
+
+
+def q_role_canonical(spark, d):
+    """Roles by the names of an id; those of users 0 to 9 are pinned."""
+    pinned = table(spark, d, "events").where("user_id < 10").select(I.service_id(W.service_name(F.col("user_id"), F.lit(0))).alias("cid"), F.lit(" Pinned ").alias("role")).distinct()
+    return I.roles(names(spark, d), pinned)
 
 
 def q_role_infer(spark, d):
@@ -112,7 +140,7 @@ def q_relation_labels(spark, d):
 
 
 def q_fingerprint(spark, d):
-    return I.fingerprints(ops(spark, d).withColumn("message", F.format_string("k=%d", F.col("trace_id"))), "trace_id")
+    return I.fingerprints(ops(spark, d).withColumn("message", F.format_string("k=%d", F.col("k"))), "k")
 
 
 def q_asof_deploy(spark, d):
@@ -121,12 +149,19 @@ def q_asof_deploy(spark, d):
     return T.asof_join(e.where("kind <> 'deploy'").select("cid", "ts", "event_id"), deploys, ["cid"], "ts", "d_ts", ["deploy_id"], ["deploy_id"], HOUR).select("event_id", F.col("asof.deploy_id").alias("deploy_id"))
 
 
+def q_asof_deploy_any(spark, d):
+    """The last deploy however long ago."""
+    e = ops(spark, d)
+    deploys = e.where("kind = 'deploy'").select("cid", F.col("ts").alias("d_ts"), F.col("event_id").alias("deploy_id"))
+    return T.asof_join(e.where("kind <> 'deploy'").select("cid", "ts", "event_id"), deploys, ["cid"], "ts", "d_ts", ["deploy_id"], ["deploy_id"]).select("event_id", F.col("asof.deploy_id").alias("deploy_id"))
+
+
 def q_edges_deploy_signal(spark, d):
     return _pruned(G.roll_up(G.deploy_edges(ops(spark, d), HOUR)))
 
 
 def q_edges_upstream(spark, d):
-    return _pruned(G.roll_up(G.upstream_edges(spans(spark, d))))
+    return _pruned(G.roll_up(G.upstream_edges(W.spans(spark, d))))
 
 
 def q_edges_incident_log(spark, d):
@@ -134,7 +169,27 @@ def q_edges_incident_log(spark, d):
 
 
 def q_edges(spark, d):
-    return _pruned(edges(spark, d))
+    """The graph made from the event log, not read from the state."""
+    e = ops(spark, d)
+    return _pruned(G.roll_up(G.deploy_edges(e, HOUR).unionByName(G.upstream_edges(W.spans(spark, d))).unionByName(G.incident_log_edges(e, HOUR))))
+
+
+def q_stream_edges(spark, d):
+    """The same graph, kept up by a stream over four files of observations."""
+    o, base = observations(spark, d), f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
+    o.repartition(4).write.parquet(f"{base}/in")
+    return Z.stream_edges(spark, f"{base}/in", o.schema, f"{base}/state", f"{base}/check").select("src", "dst", "relation", "count", F.round("confidence", 6).alias("confidence"))
+
+
+def q_edge_output(spark, d):
+    """Edges with the current names of their services."""
+    return G.shown_edges(edges(spark, d), I.current_names(names(spark, d))).select("src", "dst", "cause", "effect", "relation", "confidence")
+
+
+def q_edges_shown(spark, d):
+    """Calls of some confidence that a remediation has reinforced."""
+    e = G.reinforced(edges(spark, d), _resolved(spark, d))
+    return G.shown(e, 0.5, ["upstream_call"], True).select("src", "dst", "relation", "times")
 
 
 def q_graph_stats(spark, d):
@@ -142,18 +197,36 @@ def q_graph_stats(spark, d):
     return G.stats(edges(spark, d), e.where("kind = 'deploy'"), e.where("kind = 'remediation'")).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
+def chain(spark, d) -> DataFrame:
+    """The causal chain of every service with a signal or a remediation."""
+    starts = ops(spark, d).where("kind in ('incident_signal', 'remediation')").select("cid").distinct()
+    return kept(spark, d, "chain", lambda: G.causal_chain(starts, edges(spark, d)))
+
+
 def q_causal_chain(spark, d):
-    return G.chain_confidence(G.causal_chain(_starts(spark, d), edges(spark, d), 1)).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))
+    return G.chain_confidence(G.causal_chain(_starts(spark, d), edges(spark, d))).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))
+
+
+def q_chain_order(spark, d):
+    return G.ordered_chain(chain(spark, d)).where("place <= 3").select("start", "src", "dst", F.col("place").cast("long").alias("place"), "times")
+
+
+def roots(spark, d) -> DataFrame:
+    """Root causes of every service with a signal."""
+    e = edges(spark, d)
+    evidence = observations(spark, d).where("ts_src < ts_dst").join(e.select("src", "dst", "relation"), ["src", "dst", "relation"]).select("src", "dst", "evidence")
+    deploys = ops(spark, d).where("kind = 'deploy'").select("cid", "ts")
+    return kept(spark, d, "roots", lambda: G.root_causes(_starts(spark, d), e, evidence, deploys))
 
 
 def q_root_causes(spark, d):
-    return G.root_causes(_starts(spark, d), cut(edges(spark, d).where("count >= 2")), 2).withColumn("confidence", F.round("confidence", 6))
+    return roots(spark, d).select("start", "cid", "hops", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), "evidence_count", "earliest", F.array_join("path", ">").alias("path"), "rank")
 
 
 def q_graph_compare(spark, d):
     sides = _starts(spark, d).select(F.col("cid").alias("a"))
     sides = sides.withColumn("b", F.lead("a").over(Window.orderBy("a"))).where("b is not null")
-    return G.compare(sides, cut(edges(spark, d).where("count >= 2")), 1).withColumn("score", F.round("score", 6))
+    return G.compare(sides, edges(spark, d)).withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
 def q_edge_decay_exp(spark, d):
@@ -166,34 +239,124 @@ def q_edge_decay_linear(spark, d):
     return edges(spark, d).crossJoin(F.broadcast(now)).select("src", "dst", F.round(G.decay_linear(F.col("confidence"), F.col("last_seen"), F.col("now")), 6).alias("confidence"))
 
 
+def q_edge_decay_out(spark, d):
+    """The linear decay of what goes out from services with a signal."""
+    now = ops(spark, d).agg(F.max("ts")).first()[0]
+    return G.decayed_out(edges(spark, d), _starts(spark, d), F.lit(now)).select("src", "dst", F.round("confidence", 6).alias("confidence"), "changed")
+
+
 def q_reinforce(spark, d):
-    fixes = ops(spark, d).where("kind = 'remediation' and event_id % 2 = 0").select("cid", "ts")
-    return G.reinforced(edges(spark, d).where("count >= 2"), fixes, 1).select("src", "dst", "times", F.round("confidence", 6).alias("confidence"))
+    return G.reinforced(edges(spark, d), _resolved(spark, d)).select("src", "dst", "times", F.round("confidence", 6).alias("confidence"))
 
 
-def q_motif_memory(spark, d):
+def q_reinforce_log(spark, d):
+    log = G.provenance(edges(spark, d), _resolved(spark, d))
+    return log.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.min("old"), 6).alias("first_old"), F.round(F.max("new"), 6).alias("last_new"), F.max_by("cid", F.struct("ts", "cid")).alias("last_cid"))
+
+
+def q_deploy_state(spark, d):
+    return G.deploy_state(ops(spark, d))
+
+
+def q_remediation_history(spark, d):
+    return G.remediation_history(ops(spark, d), _starts(spark, d)).select("cid", "event_id", "action", "outcome")
+
+
+def q_open_incidents(spark, d):
+    return G.open_incidents(ops(spark, d)).select("cid", "signal_id")
+
+
+def outcomes(spark, d) -> DataFrame:
     e = ops(spark, d).where("kind = 'remediation'")
-    o = e.select(F.col("cid").alias("id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_id") % 3 != 0).alias("success"))
-    return M.evolved(o).withColumn("confidence", F.round("confidence", 6))
+    return e.select(F.col("cid").alias("id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("outcome") == "resolved").alias("success"))
+
+
+def q_motif_memory(spark, d):
+    return M.evolved(outcomes(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 def q_motif_stats(spark, d):
     return M.memory_stats(q_motif_memory(spark, d))
 
 
-def motifs_of(spark, d, kind: str) -> DataFrame:
-    """(id, ids, sequence, tokens, action) from the service's events in the day up to each event of `kind`."""
+def q_motif_decay(spark, d):
+    """Memory left alone since each service's first remediation, at the end of the log."""
     e = ops(spark, d)
-    at = e.where(F.col("kind") == kind).select(F.col("event_id").alias("id"), F.col("ts").alias("anchor"), "cid")
-    near = T.band_join(at, X.with_token(e).select("cid", "ts", F.col("kind").alias("e_kind"), "token"), ["cid"], "anchor", "ts", 600 * TIME_SCALE)
-    action = F.when(F.lit(kind) == "remediation", F.element_at(F.array(F.lit("rollback"), F.lit("restart")), (F.col("id") % 2 + 1).cast("int"))).otherwise("")
-    return near.groupBy("id").agg(F.array(F.first("cid")).alias("ids"), F.array_sort(F.collect_set("e_kind")).alias("sequence"), F.array_sort(F.collect_set("token")).alias("tokens")).withColumn("action", action)
+    created = e.where("kind = 'remediation'").groupBy(F.col("cid").alias("id")).agg(F.min("ts").alias("created"))
+    m = q_motif_memory(spark, d).join(created, "id").withColumn("decay_ref", F.lit(None).cast("double"))
+    now = e.agg(F.max("ts")).first()[0]
+    return M.decayed(m, F.lit(now)).select("id", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), F.col("decay_ref").isNotNull().alias("moved"))
+
+
+def q_motif_upsert(spark, d):
+    """Motifs of the first half of the log, then those of the second."""
+    e = ops(spark, d).where("kind = 'remediation'")
+    half = ops(spark, d).agg(F.max("event_id") / 2).first()[0]
+    of = lambda part: part.groupBy(F.col("cid").alias("id")).agg(F.max("ts").alias("created"), F.max_by("action", F.struct("ts", "event_id")).alias("action"))
+    old = of(e.where(F.col("event_id") <= half)).join(M.evolved(outcomes(spark, d).where(F.col("seq") <= half)).select("id", "confidence"), "id").withColumn("decay_ref", F.lit(None).cast("double"))
+    return M.upserted(old.select("id", "created", "action", "confidence", "decay_ref"), of(e.where(F.col("event_id") > half))).select("id", "action", F.round("confidence", 6).alias("confidence"))
+
+
+def shapes(spark, d) -> DataFrame:
+    """(start, ids, sequence, shape, confidence): the motif of every service's causal chain."""
+    return kept(spark, d, "shapes", lambda: M.extracted(chain(spark, d), I.roles(names(spark, d)), edges(spark, d)))
+
+
+def q_motif_extract(spark, d):
+    shape = F.array_join(F.transform("shape", lambda t: F.concat_ws(">", t["src"], t["relation"], t["dst"])), ";")
+    return shapes(spark, d).select(F.col("start").alias("cid"), F.array_join("ids", ",").alias("ids"), F.array_join("sequence", ",").alias("sequence"), F.md5(shape).alias("shape"), F.size("shape").cast("long").alias("n"), F.round(F.col("confidence") + 1e-9, 6).alias("confidence"))
+
+
+def q_shape_similarity(spark, d):
+    """Neighbours in the order of ids, by the shapes of their motifs."""
+    m = shapes(spark, d).select("start", "shape")
+    after = Window.orderBy("start")
+    m = m.withColumn("b", F.lead("start").over(after)).withColumn("other", F.lead("shape").over(after)).where("b is not null")
+    return m.select(F.col("start").alias("a"), "b", F.round(M.shape_similarity(F.col("shape"), F.col("other")), 6).alias("score"))
+
+
+def _motifs(at: DataFrame, spark, d) -> DataFrame:
+    """Motifs of (id, anchor, cid, action): the shape of the service's chain, and what it said in the hour before."""
+    t = tokens_before(at.withColumnRenamed("id", "signal_id"), ops(spark, d)).withColumnRenamed("signal_id", "id")
+    none = F.array().cast("array<string>")
+    out = at.join(shapes(spark, d).select(F.col("start").alias("cid"), "ids", "sequence"), "cid", "left").join(t, "id", "left")
+    return out.select("id", F.coalesce("ids", F.array("cid")).alias("ids"), F.coalesce("sequence", none).alias("sequence"), F.coalesce("tokens", none).alias("tokens"), "action")
+
+
+def memory(spark, d) -> DataFrame:
+    """What is remembered: a motif for each service whose last resolved remediation it is of, by the confidence that the outcomes left."""
+
+    def make() -> DataFrame:
+        r = ops(spark, d).where("kind = 'remediation' and outcome = 'resolved'")
+        last = r.groupBy("cid").agg(F.max_by(F.struct("ts", "action"), "ts").alias("r")).select(F.col("cid").alias("id"), F.col("r.ts").alias("anchor"), "cid", "r.action")
+        m = _motifs(last, spark, d).join(M.evolved(outcomes(spark, d)).select("id", "confidence"), "id")
+        return M.kept_motifs(m.withColumn("confidence", F.round("confidence", 6)))
+
+    return kept(spark, d, "memory", make)
+
+
+def asked(spark, d) -> DataFrame:
+    """The motif of every signal."""
+    s = signals(ops(spark, d)).select(F.col("signal_id").alias("id"), "anchor", "cid", F.lit("").alias("action"))
+    return kept(spark, d, "asked", lambda: _motifs(s, spark, d))
+
+
+def similar(spark, d, top: int = 50, least: float = 0.0) -> DataFrame:
+    return M.find_similar(asked(spark, d), memory(spark, d).drop("confidence"), top, least)
+
+
+def q_motif_prune(spark, d):
+    return memory(spark, d).select("id", "action", "confidence")
 
 
 def q_motif_similarity(spark, d):
-    memory = motifs_of(spark, d, "remediation").withColumn("confidence", F.lit(M.START))
-    found = M.find_similar(cut(motifs_of(spark, d, "incident_signal")), cut(M.kept_motifs(memory).drop("confidence")), 5)
-    return found.select(F.col("q_id").alias("signal_id"), F.col("s_id").alias("motif_id"), F.round("score", 6).alias("score"))
+    return similar(spark, d).select(F.col("q_id").alias("signal_id"), F.col("s_id").alias("motif_id"), F.round(F.col("score") + 1e-9, 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def q_similar_least(spark, d):
+    """Of the five best those of some similarity, with the reason."""
+    got = M.with_rationale(similar(spark, d, 5, 0.5), asked(spark, d))
+    return got.select(F.col("q_id").alias("signal_id"), F.col("s_id").alias("motif_id"), "rationale")
 
 
 def q_smart_top5(spark, d):
@@ -201,8 +364,9 @@ def q_smart_top5(spark, d):
 
 
 def q_remediation_rank(spark, d):
-    m = matches(spark, d)
-    return R.suggested_actions(m, m.where("action <> ''")).select("signal_id", action_label(F.col("action"), F.concat(F.lit("svc-"), F.col("signal_id").cast("string"))).alias("action"), F.round("rate", 6).alias("rate"), F.round("confidence", 6).alias("confidence"))
+    """Remedies by the history of the signal's own service, here one of fifty."""
+    m = matches(spark, d).withColumn("cid", F.concat(F.lit("svc-"), (F.col("signal_id") % 50).cast("string")))
+    return R.suggested_actions(m, m.where("action <> ''")).select("signal_id", action_label(F.col("action"), F.col("cid")).alias("action"), F.round("rate", 6).alias("rate"), F.round(F.col("confidence") + 1e-9, 6).alias("confidence"))
 
 
 def q_family_ids(spark, d):
@@ -221,6 +385,18 @@ def q_family_diversify(spark, d):
     return R.diversified(matches(spark, d)).select("signal_id", "incident_id", "similarity")
 
 
+def q_family_best(spark, d):
+    return R.family_best(matches(spark, d)).select("signal_id", "incident_id", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+def q_family_best_by_first(spark, d):
+    return R.family_best(matches(spark, d), 2, 5, True).select("signal_id", "incident_id", F.col("rank").cast("long").alias("rank"))
+
+
+def q_family_diversity(spark, d):
+    return R.family_diversity(matches(spark, d))
+
+
 def q_two_stage(spark, d):
     m = matches(spark, d).withColumn("n_ids", F.col("seq") % 4)
     return R.two_stage(m).select("signal_id", "incident_id", "stage", F.col("rank").cast("long").alias("rank"))
@@ -237,51 +413,66 @@ def q_decoy_policy(spark, d):
 
 
 def q_action_posterior(spark, d):
-    return R.action_posteriors(matches(spark, d))
+    return R.action_posteriors(matches(spark, d)).drop("target")
+
+
+def q_action_target(spark, d):
+    m = matches(spark, d).withColumn("target", F.concat(F.lit("svc-"), (F.col("seq") % 3).cast("string")))
+    return R.action_posteriors(m).select("signal_id", "action", "target")
+
+
+def _policy(spark, d) -> DataFrame:
+    decoy = F.col("c_custkey") % 3 == 0
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("signal_id"), F.when(decoy, 0.45).otherwise(1.0).alias("cap"), F.when(decoy, 0.6).otherwise(1.0).alias("multiplier"))
+
+
+def q_decoy_suppressed(spark, d):
+    m = matches(spark, d).withColumn("confidence", F.col("seq") % 100 / 100)
+    return R.suppressed(m, _policy(spark, d)).select("signal_id", "seq", "similarity", "confidence")
 
 
 def contingency(spark, d) -> DataFrame:
-    """(kind, a, b, c, d): for each kind of event, incidents of the same service in the hour after it."""
+    """For each kind of event, incidents of the same service in the ten minutes after it."""
     e = ops(spark, d)
     incidents = signals(e).select(F.col("signal_id").alias("incident"), F.col("anchor").alias("t"), "cid")
-    kinds = e.where("kind in ('deploy', 'metric', 'log', 'trace')").select("cid", "ts", "kind")
-    pairs = T.band_join(incidents, kinds, ["cid"], "t", "ts", 60.0 * TIME_SCALE * 10, closed="left")
-    hit = pairs.groupBy("kind").agg(F.count_distinct("incident").alias("a"))
-    every = kinds.groupBy("kind").agg(F.count("*").alias("events")).join(hit, "kind", "left").withColumn("a", F.coalesce("a", F.lit(0)))
-    return every.crossJoin(F.broadcast(incidents.agg(F.count("*").alias("incidents")))).select("kind", "a", F.greatest(F.lit(0), F.col("events") - F.col("a")).alias("b"), (F.col("incidents") - F.col("a")).alias("c"), F.greatest(F.lit(0), F.col("incidents") - F.col("a")).alias("d"))
+    return A.contingency(e.where("kind in ('deploy', 'metric', 'log', 'trace')").select("cid", "ts", "kind"), incidents, 600.0 * TIME_SCALE)
 
 
 def q_contingency(spark, d):
     return contingency(spark, d)
 
 
-_ABCD = ("a", "b", "c", "d")
+def _r(x, name: str):
+    return F.round(x + 1e-9, 6).alias(name)
 
 
 def q_chi_mi_effects(spark, d):
-    a, b, c, e = (F.col(x) for x in _ABCD)
+    t = A.analysed(contingency(spark, d))
+    return t.select("kind", *[_r(F.col(c), c) for c in ("chi", "mi", "pmi", "p_incident_given_event", "p_event_given_incident", "p_event", "p_incident", "v", "rr", "odds")])
+
+
+def q_assoc_measures(spark, d):
     t = contingency(spark, d)
-    chi = S.chi_squared(a, b, c, e)
-    mi, pmi = S.mutual_information(a, b, c, e)
-    r = lambda x, name: F.round(x, 6).alias(name)
-    return t.select("kind", r(chi, "chi"), r(mi, "mi"), r(pmi, "pmi"), r(S.share(a, a + b), "p_incident"), r(S.cramers_v(chi, a + b + c + e), "v"), r(S.relative_risk(a, b, c, e), "rr"), r(S.odds_ratio(a, b, c, e), "odds"))
+    return t.select("kind", *[_r(x, name) for name, x in S.measures(*[F.col(c) for c in A.ABCD]).items()])
+
+
+def q_assoc_predictive(spark, d):
+    return A.analysed(contingency(spark, d)).select("kind", "predictive", "enough")
 
 
 def q_assoc_decision(spark, d):
-    a, b, c, e = (F.col(x) for x in _ABCD)
-    t = contingency(spark, d).withColumn("chi", S.chi_squared(a, b, c, e)).withColumn("p", S.p_value("chi")).withColumn("rr", S.relative_risk(a, b, c, e))
-    t = t.withColumn("predictive", S.predictive(F.col("p"), F.col("rr"), a))
-    return t.select("kind", "predictive", F.round(S.confidence(F.col("p"), S.cramers_v(F.col("chi"), a + b + c + e), F.col("rr"), F.col("predictive")), 6).alias("confidence"))
+    return A.analysed(contingency(spark, d)).select("kind", "predictive", _r(F.col("confidence"), "confidence"))
 
 
 def q_fisher(spark, d):
-    return contingency(spark, d).select("kind", F.round(S.fisher_exact(*_ABCD), 6).alias("p"))
+    return contingency(spark, d).select("kind", F.round(S.fisher_exact(*A.ABCD), 6).alias("p"), _r(S.sample_odds(*[F.col(c) for c in A.ABCD]), "odds"))
 
 
 def q_order_similarity(spark, d):
-    m = motifs_of(spark, d, "remediation").select("id", "sequence")
-    later = m.select((F.col("id") - 1).alias("id"), F.col("sequence").alias("other"))
-    return m.join(later, "id").select("id", S.order_similarity("sequence", "other").alias("similarity"))
+    """How alike neighbouring traces (of one k and six hours) are in the kinds of their events, in the order of the kinds."""
+    m = ops(spark, d).groupBy("trace_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    later = m.select((F.col("trace_id") - 1).alias("trace_id"), F.col("kinds").alias("other"))
+    return m.join(later, "trace_id").select("trace_id", F.round(S.order_similarity(F.col("kinds"), F.col("other")), 6).alias("similarity"))
 
 
 def q_confusion(spark, d):
@@ -309,15 +500,15 @@ def q_outcomes(spark, d):
 
 
 def q_loss_breakdown(spark, d):
-    return V.loss_breakdown(predictions(spark, d))
+    return V.loss_breakdown(predictions(spark, d), remedies(spark, d))
 
 
 def q_loss_by_family(spark, d):
-    return V.loss_by_family(predictions(spark, d))
+    return V.loss_by_family(predictions(spark, d), remedies(spark, d))
 
 
 def q_top_failures(spark, d):
-    return V.top_failures(predictions(spark, d))
+    return V.top_failures(predictions(spark, d), remedies=remedies(spark, d))
 
 
 def q_calibration(spark, d):
@@ -350,7 +541,14 @@ def q_param_importance(spark, d):
 
 
 def q_latency_p95(spark, d):
-    return ops(spark, d).groupBy("kind").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.percentile("value", 0.5), 6).alias("median"))
+    e = ops(spark, d).select("kind", "value")
+    p95, median = (V.exclusive_quantile(e, "kind", "value", p) for p in (95, 50))
+    return p95.select("kind", "n", _r(F.col("quantile"), "p95")).join(median.select("kind", _r(F.col("quantile"), "median")), "kind")
+
+
+def q_quality(spark, d):
+    """Recall@5, precision@5 and remediation accuracy of the predictions."""
+    return V.quality(predictions(spark, d), remedies(spark, d))
 
 
 def q_recent_tail(spark, d):
@@ -371,10 +569,18 @@ def q_context_quality(spark, d):
     return got.select("signal_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def q_post_processed(spark, d):
-    policy = table(spark, d, "customer").select(F.col("c_custkey").alias("signal_id"), F.when(F.col("c_custkey") % 3 == 0, 0.45).otherwise(1.0).alias("cap"))
+def post_processed(spark, d) -> tuple[DataFrame, DataFrame]:
     m = matches(spark, d).withColumn("n_ids", F.col("seq") % 4)
-    return R.post_processed(m, policy).select("signal_id", "incident_id", "similarity")
+    fallback = m.where("action <> ''").groupBy("signal_id").agg(F.min("action").alias("action")).withColumn("confidence", F.lit(0.5))
+    return R.post_processed(m, _policy(spark, d), fallback)
+
+
+def q_post_processed(spark, d):
+    return post_processed(spark, d)[0].select("signal_id", "incident_id", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+def q_post_actions(spark, d):
+    return post_processed(spark, d)[1].select("signal_id", "action", _r(F.col("confidence"), "confidence"))
 
 
 def q_improvement(spark, d):
@@ -386,6 +592,10 @@ def q_ablation(spark, d):
     return P.ablation(runs.unpivot("variant", ["recall", "share"], "metric", "value"), "5-LOW")
 
 
+def q_ablation_extremes(spark, d):
+    return P.ablation_extremes(q_ablation(spark, d), "recall")
+
+
 def q_config_diff(spark, d):
     side = lambda k: table(spark, d, "supplier").where(F.col("s_suppkey") % 5 != k).select(F.col("s_name").alias("key"), F.when(F.col("s_suppkey") % 7 == k, F.col("s_suppkey")).otherwise(F.col("s_nationkey").cast("long")).alias("value"))
     return P.config_diff(side(1), side(2))
@@ -436,20 +646,24 @@ def q_evidence_counts(spark, d):
 
 
 def q_context_full(spark, d):
-    """One row for each signal: related events, width, chain, confidence, best match and action, explained."""
+    """One row for each signal: related events after the prune, confidence, surest root cause, matches, remedy, explained."""
     e = ops(spark, d)
     sig = signals(e)
-    edge = cut(edges(spark, d))
-    r = T.related_events(sig, e, G.neighbours(edge), TIME_SCALE).groupBy("signal_id").agg(F.count("*").alias("related"))
-    starts = sig.select("cid").distinct()
-    roots = cut(G.root_causes(starts, edge.where("count >= 2"), 2))
-    sure = X.confidence(G.chain_confidence(G.causal_chain(starts, edge, 1)), roots)
-    root = roots.groupBy("start").agg(F.max_by("cid", F.struct("confidence", "cid")).alias("root"), F.max("confidence").alias("root_confidence"))
-    best = q_motif_similarity(spark, d).groupBy("signal_id").agg(F.max_by("motif_id", F.struct("score", (-F.col("motif_id")).alias("n"))).alias("motif_id"), F.max("score").alias("score"))
-    out = sig.join(r, "signal_id", "left").join(sure.withColumnRenamed("start", "cid"), "cid", "left").join(root.withColumnRenamed("start", "cid"), "cid", "left").join(best, "signal_id", "left")
-    action = F.when(F.col("motif_id").isNotNull(), F.when(F.col("motif_id") % 2 == 0, "rollback").otherwise("restart"))
-    text = X.explanation(F.concat(F.lit("svc-"), F.col("user_id").cast("string")), F.col("cid"), F.col("anchor").cast("string"), F.coalesce("related", F.lit(0)), F.col("root"), F.col("root_confidence"), F.col("motif_id").cast("string"), F.col("score"), action, F.lit(1.0))
-    return out.select("signal_id", "cid", "related", F.round("confidence", 6).alias("confidence"), "root", "motif_id", "score", text.alias("explanation"))
+    r = cut(related(spark, d).select("signal_id", "anchor", "event_id", "ts", "token"))
+    left = X.lift_pruned(r, X.token_lift(r, TIME_SCALE)).groupBy("signal_id").agg(F.count("*").alias("related"))
+    root_rows = roots(spark, d)
+    sure = X.confidence(G.chain_confidence(chain(spark, d)), root_rows)
+    root = root_rows.where("rank = 1").select(F.col("start").alias("cid"), F.col("cid").alias("root"), F.col("confidence").alias("root_confidence"))
+    found = similar(spark, d).select(F.col("q_id").alias("signal_id"), F.col("s_id").alias("incident_id"), F.col("rank").alias("seq"), F.col("score").alias("similarity"), F.col("s_action").alias("action"))
+    top = cut(R.smart_top(R.best_per_incident(found)))
+    best = top.where("rank = 1").select("signal_id", F.col("incident_id").alias("motif_id"), F.col("similarity").alias("score"))
+    remedy = R.suggested_actions(top.drop("rank").join(sig.select("signal_id", "cid"), "signal_id"), G.remediation_history(e)).where("rank = 1").select("signal_id", "action", "rate")
+    out = sig.join(left, "signal_id", "left").join(sure.withColumnRenamed("start", "cid"), "cid", "left").join(root, "cid", "left").join(best, "signal_id", "left").join(remedy, "signal_id", "left")
+    now = I.current_names(names(spark, d)).select("cid", F.col("name").alias("now"))
+    out = out.join(now, "cid", "left")
+    action = action_label(F.col("action"), F.coalesce("now", "cid"))
+    text = X.explanation(F.col("service"), F.col("cid"), F.col("anchor").cast("string"), F.coalesce("related", F.lit(0)), F.col("root"), F.col("root_confidence"), F.col("motif_id"), F.col("score"), action, F.col("rate"))
+    return out.select("signal_id", "cid", "related", F.round("confidence", 6).alias("confidence"), "root", "motif_id", _r(F.col("score"), "score"), action.alias("action"), text.alias("explanation"))
 
 
 QUERIES = {name: f for name, f in globals().items() if name.startswith("q_")}

@@ -1,10 +1,12 @@
-"""Sessions: the settings the engine expects, and its own code on every worker."""
+"""Sessions: the settings the engine expects, its own code on every worker, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +43,49 @@ def session(master: str = "local[*]", partitions: int = 8, name: str = "tidemark
     return ship(builder.getOrCreate())
 
 
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one on a local master; elsewhere executors would write to their
+    own disks, so that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        where = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="tidemark-"))
+    return where.rstrip("/")
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed and its lineage cut, in the shared folder of the session; a temporary one only where none is set, as on one machine."""
+    """df computed and its lineage cut, in the shared folder of the session."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the engine's state over `source`, written once for each application and read from then on."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _kept:
+        path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        make().write.option("compression", "zstd").parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
+def forget(spark: SparkSession, source: str) -> None:
+    """From now on all kept tables over `source` are made anew."""
+    for key in [k for k in _kept if k[:2] == (spark.sparkContext.applicationId, source)]:
+        del _kept[key]
