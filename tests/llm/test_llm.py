@@ -104,6 +104,13 @@ def test_schedule_is_spread(spark):
     assert abs(head["a"] - 90) <= 4 and abs(head["b"] - 30) <= 4
 
 
+def test_repeat_by_mix_edges(spark, docs, none):
+    extra = clash(docs).withColumns({c: F.lit(1) for c in ("__times", "__twin", "__key", "twin", "first_slot", "__base")})
+    got = mixing.repeat_by_mix(extra)
+    assert got.columns == extra.columns and 0 < got.count() and got.where("text is null or trim(text) = ''").count() == 0
+    assert mixing.repeat_by_mix(none).count() == 0
+
+
 def test_mixing_empty(none):
     assert mixing.mixed_documents(none).count() == 0
 
@@ -167,6 +174,41 @@ def test_links_have_the_components(spark, paired):
         assert groups({f: whole.get(f, f) for f in fps}) == groups(want)
 
 
+def brute_similar(rows, similarity=0.8, shingle=5):
+    """(id: smallest id) of documents linked by the Jaccard similarity of their word shingles, over all pairs."""
+    sets = {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        sets[d] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {d: min(x, y) if r in (x, y) else r for d, r in root.items()}
+    return root
+
+
+def test_similar_groups_against_all_pairs(spark, docs, none):
+    rng = random.Random(41)
+    base = [words(rng, 120) for _ in range(30)]
+    rows = list(enumerate(base)) + [(100 + i, " ".join([*t.split()[:-1], "changed"])) for i, t in enumerate(base)] + [(200 + i, t.upper()) for i, t in enumerate(base[:5])]
+    rows += [(300, None), (301, ""), (302, "one two"), (303, "one  Two"), (304, "one three")]
+    # Half of the words are others': alike by no measure.
+    rows += [(400 + i, " ".join(t.split()[:60] + words(rng, 60).split())) for i, t in enumerate(base[:10])]
+    df = clash(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("__kept", F.lit(1))
+    want = brute_similar(rows)
+    assert dict(map(tuple, simhash.similar_groups(df, tables=3).collect())) == want
+    kept = simhash.drop_near_duplicates(tables=3, docs=df.unionByName(df.limit(3)).unionByName(df.where("doc_id = 300").withColumn("doc_id", F.lit(None).cast("long"))))
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(set(want.values())) and kept.where("doc_id is null").count() == 1 and kept.columns == df.columns
+    assert simhash.drop_near_duplicates(none, tables=1).count() == 0
+
+
+def test_simhash_whole_balls_give_the_same(docs):
+    a, b = (sorted(map(str, simhash.near_duplicates(docs, balls=x).collect())) for x in ("halves", "whole"))
+    assert a == b
+
+
 def test_simhash_empty(none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
@@ -200,6 +242,41 @@ def test_language_prior_decides_without_text(spark, tongues):
     assert got[902]["language"] == language.UNKNOWN and not got[902]["kept"]
 
 
+def test_language_posterior_by_hand(spark, tongues):
+    """The posterior of every row from the model's likelihoods, the votes and the declarations, summed up in Python."""
+    some = language.document_rows(tongues.orderBy("doc_id").limit(200)).withColumn("suffix", F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))))
+    rows = some.collect()
+    df = spark.createDataFrame(rows, some.schema)
+    model = language.fit(df)
+    langs = model.languages
+    texts = lm_array([r["text"] for r in rows])
+    n, ll = model.evidence(texts)
+    top = np.where(n > 0, ll.argmax(axis=1), -1)
+    total = np.array([(top == k).sum() + 1.0 for k in range(len(langs))])
+    want = {}
+    for i, r in enumerate(rows):
+        prior = total / total.sum()
+        for by, weight in (("suffix", language.SUFFIX_WEIGHT), ("host", language.HOST_WEIGHT)):
+            own = np.array([float(sum(1 for j, x in enumerate(rows) if j != i and x[by] is not None and x[by] == r[by] and top[j] == k)) for k in range(len(langs))])
+            prior = (own + weight * prior) / (own.sum() + weight)
+        logs = ll[i] + np.log(np.maximum(prior, 1e-12))
+        if r["declared"] in langs and any(x["declared"] == r["declared"] for x in rows):
+            says = np.array([(sum(1 for j, x in enumerate(rows) if x["declared"] == r["declared"] and top[j] == k) + language.DECLARED_WEIGHT * (0.9 if r["declared"] == l else 0.1 / len(langs))) / (total[k] + language.DECLARED_WEIGHT) for k, l in enumerate(langs)])
+            logs = logs + np.log(says)
+        p = np.exp(logs - logs.max())
+        want[r["id"]] = (langs[int(logs.argmax())], 1 / p.sum())
+    for r in language.identify(df).collect():
+        assert (r["language"], r["confidence"]) == (want[r["id"]][0], pytest.approx(want[r["id"]][1], rel=1e-6))
+
+
+def test_keep_identified_edges(spark, docs, none):
+    extra = clash(docs).withColumns({c: F.lit(1) for c in ("__id", "__bad", "id", "host", "kept")})
+    odd = extra.where("doc_id = 80").withColumn("doc_id", F.lit(None).cast("long"))
+    got = language.keep_identified(extra.unionByName(odd))
+    assert got.columns == extra.columns and got.where("text is null").count() == 0
+    assert language.keep_identified(none).count() == 0
+
+
 def test_language_edges(spark, docs, none):
     assert language.identify(language.document_rows(none)).count() == 0
     assert language.identify(language.document_rows(clash(docs))).count() == docs.count()
@@ -276,6 +353,30 @@ def test_sharding(spark, docs):
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and len(rows) == docs.count()
 
 
+def test_sharding_against_the_law(spark):
+    """Shards by the largest hash of key and shard, slots gapless; most rows without an id, with extra columns of the operator's own names."""
+    rows = [(i if i % 4 == 0 else None, f"text {i // 2}", "x") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("__key", "__place", "__bucket", "__base", "__inside", "__sum", "shard")})
+    got = sharding.shard(df)
+    assert set(got.columns) == set(df.columns) | {"slot", "grown_shard"}
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    tops = [F.shiftrightunsigned(F.xxhash64(key, F.lit(j)), 64 - sharding.HASH_BITS).alias(f"u{j}") for j in range(sharding.SHARDS + 1)]
+    slots = defaultdict(list)
+    for r in got.select("*", *tops).collect():
+        u = [r[f"u{j}"] for j in range(sharding.SHARDS + 1)]
+        assert r["shard"] == u.index(max(u[:-1])) and r["grown_shard"] == u.index(max(u))
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 600
+    assert sharding.shard(df.where("false")).count() == 0
+
+
+def test_hot_rows_without_an_id_are_dealt_out(spark):
+    """Nine tenths of the rows have no id: no (shard, bucket) of the numbering gets more than a small share of them."""
+    df = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(sharding.BUCKETS))
+    assert df.withColumn("shard", sharding.shard_of(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), (1.0,) * 40)).groupBy("shard", place.alias("b")).count().agg(F.max("count")).first()[0] < 80
+
+
 def test_sharding_weights_and_growth(spark):
     df = spark.range(20000).withColumnRenamed("id", "doc_id")
     n = Counter(r["shard"] for r in sharding.shard(df, (1.0, 2.0, 5.0), 2.0).collect())
@@ -466,6 +567,19 @@ def test_neighbours(spark):
     assert hits / 600 >= 0.9
 
 
+def test_neighbours_of_doubles_and_of_other_lengths(spark):
+    """Scores are of the vectors as they are, and each length has its own neighbours."""
+    rng = np.random.default_rng(8)
+    wide, slim = rng.normal(0, 1, (30, 8)), rng.normal(0, 1, (5, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(wide)] + [(100 + i, v.tolist()) for i, v in enumerate(slim)]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()}
+    vectors = dict((i, np.array(v)) for i, v in rows)
+    assert len(got) == 5 + 4
+    for (q, v), score in got.items():
+        a, b = vectors[q], vectors[v]
+        assert len(a) == len(b) and score == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-15)
+
+
 def test_neighbours_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
@@ -500,16 +614,43 @@ def test_decontamination(spark, docs, limit):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
-def test_decontamination_removes(spark, docs, none):
-    bench = spark.createDataFrame([(1, "no id here")], "item_id long, text string")
-    kept = decontamination.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == docs.count() - 1
-    cut = decontamination.decontaminate(docs, bench, remove="spans").where("doc_id is null").first()
-    assert cut["text"].strip() == ""
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_BYTES, 0])
+def test_decontamination_removes(spark, docs, none, limit):
+    bench = spark.createDataFrame([(1, "no id here"), (2, "alpha1 alpha2 beta3 beta4"), (3, docs.where("doc_id = 83").first()["text"][:200])], "item_id long, text string")
+    extra = clash(docs).withColumns({c: F.lit("y") for c in ("__row", "__at", "at", "items", "k", "length")})
+    kept = decontamination.decontaminate(extra, bench, limit=limit)
+    rows, items = docs.collect(), [tuple(r) for r in bench.collect()]
+    want = sorted(str(r["doc_id"]) for r in rows if not brute_hits(r["text"], items)[-1])
+    assert kept.columns == extra.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == want and len(want) < len(rows)
+    cut = decontamination.decontaminate(extra, bench, remove="spans", limit=limit)
+    assert cut.columns == extra.columns and cut.count() == len(rows) and cut.where("doc_id is null").first()["text"].strip() == ""
+    for r in cut.where("doc_id is not null").collect():
+        before = next(x["text"] for x in rows if x["doc_id"] == r["doc_id"])
+        assert (r["text"] is None) == (before is None) and (before is None or len(r["text"].split()) == len(before.split()) - brute_hits(before, items)[1])
+    for empty in (decontamination.decontaminate(none, bench, limit=limit), decontamination.hits(none, bench, limit=limit)):
+        assert empty.count() == 0
+    assert decontamination.decontaminate(docs, bench.where("false"), limit=limit).count() == len(rows)
     assert decontamination.hits(none, bench).count() == 0
     assert decontamination.hits(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_index_of_a_long_item_is_built_in_linear_time():
+    import time
+
+    text = words(random.Random(31), 700_000)
+    began = time.time()
+    index = decontamination.Index([("a", text), ("b", text[:5000])])
+    assert len(text) > 4_000_000 and time.time() - began < 20 and index.nbytes() < 12 * len(text)
+    n_words, n_hit, items, _, _ = index.scan(lm_array([text[:3000], "nothing of it at all in here, whatever one may look for"]))
+    assert n_hit[0] >= n_words[0] - 1 and items[0] == {0, 1} and not n_hit[1]
+
+
+def lm_array(texts):
+    import pyarrow as pa
+
+    return pa.array(texts, pa.large_string())
+
+
 def test_decontamination_by_join_removes_rows(spark):
     rows = [(None, "no id here"), (None, "another text"), (1, "no id here"), (1, "clean"), (2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -554,13 +695,29 @@ def test_entropy_windows():
                 for i in range(m.start(), m.end() - 19):
                     w = s[i : i + 20]
                     h = -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values())
-                    if h >= least - 1e-12 and sum(c.isdigit() for c in w) >= 2 and sum(c.isalpha() for c in w) >= 2:
+                    upper, lower, digits = (sum(x <= c <= y for c in w) for x, y in ("AZ", "az", "09"))
+                    if h >= least - 1e-12 and ((digits and upper + lower) or (upper >= secrets.CASED and lower >= secrets.CASED)):
                         want.update(range(i, i + 20))
         assert {k for a, b in secrets.entropy_spans(s) for k in range(a, b)} == want
     found = secrets.scan("key Zk3J9xQ1vT7bN5mW2cR8pL4y and 123e4567-e89b-12d3-a456-426614174000 2024-01-01T00-00-00-000000 thequickbrownfoxjumpsover")
     assert [(k, s) for s, k, _ in found] == [(3, 4)]
 
 
+def test_entropy_finds_random_strings_of_any_alphabet():
+    rng = random.Random(9)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet, least in ((letters + letters.upper() + digits, 0.98), (letters + letters.upper() + digits + "+/", 0.95), (letters.upper() + "234567", 0.88), (letters + letters.upper(), 0.88), (digits + "abcdef", 0.95)):
+        assert sum(bool(secrets.scan("is " + "".join(rng.choice(alphabet) for _ in range(20)) + ", or")) for _ in range(300)) >= least * 300
+    for name in ("getUserNameFromDatabase", "HTTPServerURLHandlerFactory", "thequickbrownfoxjumpsoverthelazydog", "/usr/local/lib/python3/site-packages", "some-long-title-2024-01-02-of-things", "SHOUTING_CONSTANT_NAME_2", "Donaudampfschifffahrtsgesellschaft"):
+        assert not secrets.scan(name)
+
+
+def test_secrets_in_very_long_texts():
+    text = "word " * 200_000 + "token: abc1234567 " + "Zk3J9xQ1vT7bN5mW2cR8pL4y"
+    assert [secrets.KINDS[k] for _, k, _ in secrets.scan(text)] == ["assign", "entropy"]
+    assert len(secrets.entropy_spans("Zk3J9xQ1vT7bN5mW2cR8pL4y" * 4000)) == 1
+
+
 def test_secrets_empty(none):
     assert secrets.find_secrets(none).count() == 0
 

@@ -133,23 +133,29 @@ def search(vectors: DataFrame, is_query, top: int = TOP, sample: int = SAMPLE) -
     """(query_id, rank, vec_id, score): for each row where `is_query` holds its `top` nearest other rows found, by cosine.
 
     Every row is indexed, in the partition that the classifier finds most probable. A query visits the `visits` most probable partitions and
-    is reranked there against all vectors in double precision. Equal vectors are indexed once with their smallest ids, which is all that
-    ties leave to be found. Null ids, null, zero, non-finite vectors, and vectors not of the commonest length take no part; a vec_id that
-    repeats is one row when a query leaves out its own.
+    is reranked there against all vectors, as they are, in double precision. Equal vectors are indexed once with their smallest ids, which is all
+    that ties leave to be found. Null ids and null, zero or non-finite vectors take no part; vectors of different lengths have no cosine, so there
+    is a search for each length. A vec_id that repeats is one row when a query leaves out its own; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0")
+    x = vectors.withColumn("query", is_query).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "query").where("vec_id is not null and embedding is not null and size(embedding) > 0")
     finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     x = x.where(finite).where(norm > 0)
-    lengths = x.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = x.where(F.size("embedding") == lengths[0][0])
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = sorted(r[0] for r in x.select(F.size("embedding")).distinct().collect())  # a table of embeddings has one or a few
+    for length in lengths:
+        out = out.unionByName(_search(x.where(F.size("embedding") == length), top, sample))
+    return out
+
+
+def _search(x: DataFrame, top: int, sample: int) -> DataFrame:
+    """search() over (vec_id, embedding, query) of one length."""
+    spark = x.sparkSession
     first = Window.partitionBy("embedding").orderBy("vec_id")
-    few = x.dropDuplicates(["vec_id", "embedding"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= top + 1)
+    few = x.select("vec_id", "embedding").dropDuplicates(["vec_id", "embedding"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= top + 1)
     index = stored(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("node")), "ann-vectors")
-    asked = x.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    asked = x.where("query").select(F.col("vec_id").alias("query_id"), "embedding").distinct()
     asked = stored(asked.join(index.select("embedding", "node"), "embedding").select("query_id", "node"), "ann-queries")
     rows = index.count()
     chosen = index.select("node").orderBy(F.xxhash64("node"), "node").limit(sample)
@@ -170,10 +176,10 @@ def search(vectors: DataFrame, is_query, top: int = TOP, sample: int = SAMPLE) -
             best = np.argpartition(-s, r.visits - 1, axis=1)[:, : r.visits] if r.visits < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best.tolist(), pa.list_(pa.int32()))], names=[*b.schema.names, "parts"])
 
-    homed = stored(index.mapInArrow(home, "embedding array<float>, ids array<long>, node long, part int"), "ann-index")
+    homed = stored(index.mapInArrow(home, "embedding array<double>, ids array<long>, node long, part int"), "ann-index")
     sizes = homed.groupBy("part").count().select("part", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     left = homed.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    q = index.join(asked.select("node").distinct(), "node", "left_semi").select("node", "embedding").mapInArrow(visited, "node long, embedding array<float>, parts array<int>")
+    q = index.join(asked.select("node").distinct(), "node", "left_semi").select("node", "embedding").mapInArrow(visited, "node long, embedding array<double>, parts array<int>")
     q = q.select("node", "embedding", F.explode("parts").alias("part"))
     deals = q.groupBy("part").count().select("part", F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("deals"))
     q = q.join(F.broadcast(deals.join(F.broadcast(sizes), "part")), "part").withColumn("deal", F.pmod(F.xxhash64("node", F.lit(1)), F.col("deals")).cast("int"))
@@ -209,4 +215,5 @@ def search(vectors: DataFrame, is_query, top: int = TOP, sample: int = SAMPLE) -
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import own_dir, shared_dir  # noqa: F401  (shared_dir is for callers)
+
 SPACE = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 
@@ -31,22 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests on one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        app = spark.sparkContext.applicationId
-        where = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="tidemark-"))
-    return where.rstrip("/")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as no column of df, whatever its case, has."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
@@ -60,9 +61,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver drop what nothing refers to any more, so that Spark deletes the shuffles of finished jobs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sweep(spark: SparkSession) -> None:
-    """Delete all tables that this application has stored(); results that still read them must have been written by then."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
+    """Delete all tables that this application has stored(), the pipeline's included; results that still read them must have been written by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -174,12 +181,13 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], bucket: Colum
     bucket. `bucket` must be a cheap deterministic column that deals a group out evenly, and its order comes first.
     """
     each = F.lit(1).cast("long") if weight is None else weight
-    df = df.withColumn("__bucket", bucket)
-    sums = df.groupBy(*group, "__bucket").agg(F.sum(each).alias("__sum"))
-    before = F.sum("__sum").over(Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("__base", F.coalesce(before, F.lit(0).cast("long"))).drop("__sum")
-    inside = F.sum(each).over(Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    left = df.withColumn("__inside", F.coalesce(inside, F.lit(0).cast("long"))).alias("l")
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "__bucket"]]
+    cell, total, base, inside = fresh(df, "__bucket", "__sum", "__base", "__inside")
+    df = df.withColumn(cell, bucket)
+    sums = df.groupBy(*group, cell).agg(F.sum(each).alias(total))
+    before = F.sum(total).over(Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn(base, F.coalesce(before, F.lit(0).cast("long"))).drop(total)
+    own = F.sum(each).over(Window.partitionBy(*group, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    left = df.withColumn(inside, F.coalesce(own, F.lit(0).cast("long"))).alias("l")
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, cell]]
     out = left.join(sums.alias("r"), on=reduce(lambda a, b: a & b, on))
-    return out.select("l.*", "r.__base").withColumn(as_name, F.col("__base") + F.col("__inside")).drop("__bucket", "__base", "__inside")
+    return out.select("l.*", f"r.{base}").withColumn(as_name, F.col(base) + F.col(inside)).drop(cell, base, inside)

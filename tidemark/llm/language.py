@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, stored, table, utf8
+from .common import LOWER, fresh, slices, stored, table, utf8
 
 #: Labelled rows that the text model is fitted on, at most, taken by a hash of the id; counts, priors and results cover all rows.
 SAMPLE = 4000
@@ -20,6 +20,8 @@ EVIDENCE = 200
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 5.0, 20.0, 20.0
 UNKNOWN = "und"
 MIN_CONFIDENCE = 0.5
+#: Hosts or suffixes whose counts may go to every worker; of more, rows of one are dealt over SALTS keys.
+BROADCAST_KEYS, SALTS = 100_000, 64
 
 #: Letters stay, lower-cased; other ASCII becomes a space.
 _LETTER = LOWER.copy()
@@ -130,7 +132,14 @@ def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
             says[r[0], langs[k]] = (r[1][k] + DECLARED_WEIGHT * (0.9 if r[0] == langs[k] else 0.1 / len(langs))) / (total[k] + DECLARED_WEIGHT)
     declared = F.create_map(*[x for d in langs if (d, langs[0]) in says for x in (F.lit(d), F.array(*[F.lit(float(np.log(says[d, l]))) for l in langs]))]) if says else None
     flat = F.array(*[F.lit(0.0) for _ in each])
-    out = one.join(votes("suffix"), "suffix", "left").join(votes("host"), "host", "left")
+    def with_votes(rows: DataFrame, by: str) -> DataFrame:
+        v = stored(votes(by), "language-votes")
+        if v.count() <= BROADCAST_KEYS:
+            return rows.join(F.broadcast(v), by, "left")
+        salt = F.pmod(F.xxhash64("id", "n"), F.lit(SALTS))
+        return rows.withColumn("salt", salt).join(v.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), [by, "salt"], "left").drop("salt")
+
+    out = with_votes(with_votes(one, "suffix"), "host")
 
     def smoothed(own: Column, parent: Column, weight: float) -> Column:
         n = F.aggregate(own, F.lit(0.0), lambda a, c: a + c)
@@ -166,14 +175,20 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the ids of which every row is rejected."""
-    bad = identify(document_rows(docs)).groupBy("id").agg(F.max("kept").alias("kept")).where("not kept").select("id")
-    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.id")), "left_anti").select(docs.columns)
+    """docs without the ids of which every row is rejected; rows without an id are judged one by one, by their texts. An empty table gives an empty one."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.hex(F.xxhash64(F.coalesce("text", F.lit("")))), F.hex(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)))))
+    name, bad_name = fresh(docs, "__id", "__bad")
+    keyed = docs.withColumn(name, key)
+    rows = keyed.select(F.xxhash64(name).alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    bad = identify(rows).groupBy("id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("id").alias(bad_name))
+    return keyed.join(bad, F.xxhash64(name) == F.col(bad_name), "left_anti").select(docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
     return identify(document_rows(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page."""
     return identify(page_rows(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, stored, table, word_count
+from .common import fresh, numbered, stored, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -17,6 +17,8 @@ SEED = "17"
 #: 2 ** 32 over the golden ratio, odd: i times it, modulo 2 ** 32, is the golden-ratio sequence in fixed point.
 GOLDEN = 2654435769
 CELL_BITS = 20
+#: Documents of a source that one task numbers at a time; what a source's buckets begin with meets in one task, a row for each bucket.
+BUCKET_ROWS = 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -85,7 +87,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     n = sizes.agg(F.max("n")).first()[0] or 0
     targets = stored(source_targets(sizes.drop("n"), weights, share, cap), "mix-targets")
     digits = 2
-    while 16**digits * 2048 < n:
+    while 16**digits * BUCKET_ROWS < n:
         digits += 1
     keyed = rows.where("size > 0").withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("twin").cast("string"))))
     placed = numbered(keyed, ["source"], [F.col("key"), F.col("doc_id"), F.col("size"), F.col("row")], F.substring("key", 1, digits), "at", F.col("size"))
@@ -109,18 +111,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def repeat_by_mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs as often as the mix takes them, whole and in part: never, once or twice.
+    """The rows of docs as often as the mix takes them, whole and in part: never, once or twice. Null and empty texts are never taken; an empty table
+    gives an empty one.
 
     A row that repeats an id counts once; of rows without an id those of one text and source count once, the others are told apart.
     """
-    docs = docs.withColumn("__twin", _twin()).dropDuplicates(["doc_id", "__twin"])
-    times = mixed_documents(docs).where("taken > 0").select("doc_id", "twin", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.__twin").eqNullSafe(F.col("m.twin"))
-    out = docs.alias("d").join(times.alias("m"), same).select("d.*", "__times")
-    return out.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__twin")
+    twin, times, key = fresh(docs, "__twin", "__times", "__key")
+    docs = docs.withColumn(twin, _twin()).dropDuplicates(["doc_id", twin])
+    taken = mixed_documents(docs).where("taken > 0").select(F.col("doc_id").alias(key), F.col("twin").alias(f"{key}t"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)) & F.col(twin).eqNullSafe(F.col(f"{key}t")))
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times, twin, key, f"{key}t")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, with production parameters."""
     return mixed_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -150,9 +150,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     of_text = stored(hit.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("term")).alias("terms")), "pii-texts")
     inside = "[a-z0-9A-Z\\x{80}-\\x{10FFFF}]"
     pattern = F.concat(F.lit(f"(?<!{inside})(?i:"), F.array_join("terms", "|"), F.lit(f")(?!{inside})"))
-    texts = rows.join(F.broadcast(of_text) if n <= BROADCAST_TERMS and of_text.count() <= BROADCAST_TERMS else of_text, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
-    terms = texts.select("t1", "t2", matches(F.col("text"), pattern, 4).alias("more"))
-    out = found.join(terms, ["t1", "t2"], "left")
+    small = n <= BROADCAST_TERMS and of_text.count() <= BROADCAST_TERMS
+    # Else one copy of each text is taken before anything is shuffled by it, so that no task gets all copies with their texts.
+    one = rows.join(F.broadcast(of_text), ["t1", "t2"]).dropDuplicates(["t1", "t2"]) if small else rows.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(of_text, ["t1", "t2"])
+    terms = stored(one.select("t1", "t2", matches(F.col("text"), pattern, 4).alias("more")), "pii-terms")
+    out = found.join(F.broadcast(terms) if small and terms.agg(F.coalesce(F.sum(F.size("more")), F.lit(0))).first()[0] <= BROADCAST_TERMS else terms, ["t1", "t2"], "left")
     free = F.filter("more", lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
     return out.select("doc_id", "t1", "t2", F.concat("spans", F.coalesce(free, F.array().cast(SPAN))).alias("spans"))
 
@@ -179,6 +181,7 @@ def _said(spans: Column) -> Column:
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in every document, with the terms that give it away."""
     found = find_personal_data(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(

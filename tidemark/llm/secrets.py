@@ -23,13 +23,17 @@ HEX = re.compile(r"[0-9a-f]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character over a window of 20 from which a run of that class counts as random; such strings drawn at random have about 3.4, 3.9 and 4.1.
-CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]+"), 3.0), ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.65), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.85))
-#: Long strings that look random and are no secrets: UUIDs, dates and times, digits alone, letters alone, slugs, paths of words.
+CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]+"), 3.0), ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.5), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.7))
+#: Without a digit, a window needs so many letters of each case: words and names of words have fewer capitals.
+CASED = 6
+#: Long strings that look random and are no secrets: UUIDs, dates and times, digits alone, letters of one case, words and short numbers between
+#: separators, names made of words and abbreviations.
 ALLOW = (
     re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"),
     re.compile(r"[0-9T_/=+-]+"),
-    re.compile(r"[A-Za-z_/=+-]+"),
-    re.compile(r"[A-Za-z]+[0-9]{0,6}([-_/][A-Za-z]+[0-9]{0,6})*"),
+    re.compile(r"[a-z_/=+-]+|[A-Z_/=+-]+"),
+    re.compile(r"[-_/=+]*+(?:[A-Z]?[a-z]++[0-9]{0,6}+|[A-Z]++[0-9]{0,6}+|[0-9]{1,8}+)(?:[-_/=+]++(?:[A-Z]?[a-z]++[0-9]{0,6}+|[A-Z]++[0-9]{0,6}+|[0-9]{1,8}+))*+[-_/=+]*+"),
+    re.compile(r"(?:[A-Z]{2,5}|[A-Z][a-z]{2,}|[a-z]{3,})+[0-9]{0,6}"),
 )
 
 
@@ -37,7 +41,7 @@ def entropy_spans(run: str, window: int = WINDOW, classes: Sequence = CLASSES) -
     """Merged (start, end) of the windows of `run` whose characters are spread as a random string's of their class.
 
     The sum of c * log2(c) over the counts c is carried along: one character leaves a window and one enters.
-    A window counts only with two digits and two letters, which keeps words of any language out.
+    A window counts only with a digit and a letter, or with CASED letters of each case.
     """
     log = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # a character enters before one leaves
     found: list[tuple[int, int]] = []
@@ -48,21 +52,23 @@ def entropy_spans(run: str, window: int = WINDOW, classes: Sequence = CLASSES) -
             if len(s) < window:
                 continue
             counts: dict[str, int] = {}
-            total, digits, letters = 0.0, 0, 0
+            total, digits, upper, lower = 0.0, 0, 0, 0
             for i, c in enumerate(s):
                 n = counts.get(c, 0)
                 counts[c] = n + 1
                 total += log[n + 1] - log[n]
-                digits += c.isdigit()
-                letters += c.isalpha()
+                digits += "0" <= c <= "9"
+                upper += "A" <= c <= "Z"
+                lower += "a" <= c <= "z"
                 if i >= window:
                     c = s[i - window]
                     n = counts[c]
                     counts[c] = n - 1
                     total += log[n - 1] - log[n]
-                    digits -= c.isdigit()
-                    letters -= c.isalpha()
-                if i >= window - 1 and total <= limit and digits >= 2 and letters >= 2:
+                    digits -= "0" <= c <= "9"
+                    upper -= "A" <= c <= "Z"
+                    lower -= "a" <= c <= "z"
+                if i >= window - 1 and total <= limit and ((digits and upper + lower) or (upper >= CASED and lower >= CASED)):
                     a, b = m.start() + i - window + 1, m.start() + i + 1
                     if found and found[-1][0] <= a <= found[-1][1]:
                         found[-1] = (found[-1][0], b)
@@ -99,7 +105,10 @@ def scan(text: str | None, allow: Sequence[re.Pattern] = ALLOW) -> list[tuple[in
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy) for each row of docs; null text is empty, repeated rows come back as often."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy) for each row of docs; null text is empty, repeated rows come back as often.
+
+    Texts are scanned whole, whatever their length; an empty table gives an empty one. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,4 +128,5 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of secrets in every document."""
     return find_secrets(table(spark, sf_dir, "documents"))

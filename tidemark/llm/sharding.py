@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table
+from .common import fresh, numbered, table
 
 SHARDS = 40
 BUCKETS = 256
@@ -34,16 +34,21 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown: fl
     """docs with shard, slot and grown_shard by the law `key`: doc_id and the shards decide. Columns of these names are replaced.
 
     A null doc_id is a key like any other. Repeated rows share a shard and take a slot each. Slots run from 0 without gaps in every shard,
-    in the order of a hash of the key; no task gets a whole shard.
+    in the order of a hash of the whole row, so that no task gets a whole shard, nor all rows of one id or without one. An empty table gives an
+    empty one; texts are only hashed, however long.
     """
-    docs = docs.drop("shard", "slot", "grown_shard", "__key")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    out = docs.withColumn("__key", F.xxhash64(key)).withColumn("shard", shard_of(key, weights)).withColumn("grown_shard", shard_of(key, [*weights, grown]))
-    out = numbered(out, ["shard"], [F.col("__key"), F.col("doc_id")], F.pmod("__key", F.lit(BUCKETS)), "slot")
-    return out.drop("__key")
+    docs = docs.drop("shard", "slot", "grown_shard")
+    key, place = fresh(docs, "__key", "__place")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    out = docs.withColumn(key, F.xxhash64(name)).withColumn(place, F.xxhash64(*plain))
+    out = out.withColumn("shard", shard_of(name, weights)).withColumn("grown_shard", shard_of(name, [*weights, grown]))
+    out = numbered(out, ["shard"], [F.col(key), F.col("doc_id"), F.col(place)], F.pmod(F.col(place), F.lit(BUCKETS)), "slot")
+    return out.drop(key, place)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard of 40, its place there and its shard of 41; sizes and checksums instead of texts."""
     text = F.col("text")
     narrow = table(spark, sf_dir, "documents").select(
         "doc_id",

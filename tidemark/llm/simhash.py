@@ -11,13 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stored, table
+from .common import LOWER, NOT_SPACE, discard, fresh, mixed, release, slices, stored, table, utf8, window_hashes, word_bounds, word_hashes
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 #: A half-word bucket of more fingerprints is not paired; its members emit their whole ball instead.
 PAIRED = 256
+#: Near copies of the pipeline: words of a shingle, similarity of their sets, and independent tables of fingerprints in which a pair may be close.
+STAGE_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 6
+_TABLE = 0xA24BAED4963EE407
 #: Bucket keys of 16 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -139,26 +142,121 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, balls: str = "halves") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
     Null or empty text has fingerprint 0 and links like any other. Repeated rows come back as often. component_id is the smallest doc_id
-    reachable; null ids never win and a component of null ids alone has null. Columns of docs other than the two are not read.
+    reachable; null ids never win and a component of null ids alone has null. An empty table gives an empty one; texts are taken whole. Columns of
+    docs other than the two are not read. balls: "halves" emits balls around half words, "whole" around the whole word; the components are the same.
     """
     one = stored(fingerprints(docs, id_col, text_col), "simhash-fp")
     fps = stored(one.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(links(fps.select("fp"), radius))
+    near = whole_ball_links if balls == "whole" else links
+    found = components(near(fps.select("fp"), radius))
     rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = rooted.join(best, "root").select("fp", "component_id")
     return one.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; of rows that repeat an id one stays, rows without an id all stay."""
-    kept = near_duplicates(docs, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+def text_shingles(texts: pa.Array, shingle: int = STAGE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): of all runs of `shingle` lower-cased words of each text, repeats included; of shorter texts of all their words."""
+    data, offsets = utf8(texts)
+    data = LOWER[data]
+    starts, ends, first = word_bounds(data, offsets, NOT_SPACE)
+    words, n = word_hashes(data, starts, ends), np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    h = window_hashes(words, shingle)
+    at = np.flatnonzero(row[: len(h)] == row[shingle - 1 : shingle - 1 + len(h)])
+    h, of = h[at], row[at]
+    short = np.flatnonzero((n > 0) & (n < shingle))
+    if len(short):
+        own = np.array([window_hashes(words[first[d] : first[d + 1]], int(n[d]))[0] for d in short], dtype=np.uint64)
+        h, of = np.concatenate([h, own]), np.concatenate([of, short])
+        order = np.argsort(of, kind="stable")
+        h, of = h[order], of[order]
+    return h, np.searchsorted(of, np.arange(len(n) + 1))
+
+
+def table_fingerprints(h: np.ndarray, first: np.ndarray, tables: int) -> np.ndarray:
+    """[texts, tables] fingerprints: majority bits of the shingles' hashes, mixed anew for each table; 0 without shingles."""
+    out = np.zeros((len(first) - 1, tables), dtype=np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        n = np.diff(first)[full]
+        for t in range(tables):
+            bits = np.unpackbits(mixed(h + np.uint64((t + 1) * _TABLE & (1 << 64) - 1)).view(np.uint8), bitorder="little").reshape(-1, 64)
+            votes = np.add.reduceat(bits, first[:-1][full], axis=0, dtype=np.int32)
+            out[full, t] = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def similar_groups(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """(doc_id, group) of the documents with an id: texts linked by SimHash whose sets of word shingles have a Jaccard similarity of `similarity`.
+
+    Candidates are fingerprints of at most `radius` differing bits in one of `tables` independent tables, found by ball hashing; each pair is then
+    checked by its shingles. Texts with the same fingerprint in all tables count as one. group is the smallest doc_id of the linked. Of rows that
+    repeat an id the first by its fingerprints counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fps = table_fingerprints(*text_shingles(part.column(1), shingle), tables).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(fps[:, t])) for t in range(tables)]], names=["doc_id", *names])
+
+    names = [f"f{t}" for t in range(tables)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    one = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names)), "dedup-fp")
+    one = one.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("f")).select("doc_id", "f.*")
+    same = stored(one.groupBy(*names).agg(F.min("doc_id").alias("least")), "dedup-distinct")
+    pairs = None
+    for c in names:
+        of = stored(same.groupBy(F.col(c).alias("fp")).agg(F.min("least").alias("rep")), "dedup-table")
+        near = links(of.select("fp"), radius)
+        near = near.join(of.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+        equal = same.join(of, F.col(c) == F.col("fp")).where("least <> rep").select(F.col("rep").alias("x"), F.col("least").alias("y"))
+        got = stored(near.unionByName(equal), "dedup-pairs")
+        pairs = got if pairs is None else pairs.unionByName(got)
+        del near, equal, of
+        release(docs.sparkSession)
+    pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "dedup-candidates")
+    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, first = text_shingles(part.column(1), shingle)
+                packed = [np.unique(h[lo:hi]).tobytes() for lo, hi in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "s"])
+
+    shingles = stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").groupBy("doc_id").agg(F.min("s").alias("s")), "dedup-shingles")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                whole = len(a) + len(b) - both
+                ok.append(both >= similarity * whole)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    sided = pairs.join(shingles.withColumnRenamed("doc_id", "x").withColumnRenamed("s", "sx"), "x").join(shingles.withColumnRenamed("doc_id", "y").withColumnRenamed("s", "sy"), "y").select("x", "y", "sx", "sy")
+    found = components(sided.mapInArrow(alike, "a long, b long"))
+    rooted = same.join(found, F.col("least") == F.col("node"), "left").select(*names, F.coalesce("root", "least").alias("root"))
+    return one.join(rooted, names).select("doc_id", F.col("root").alias("group"))
+
+
+def drop_near_duplicates(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of similar_groups(), that of the smallest doc_id; of rows that repeat an id one stays, rows without an id all stay.
+    Null and empty texts are alike; an empty table gives an empty one; other columns stay."""
+    (key,) = fresh(docs, "__kept")
+    kept = similar_groups(docs, tables, radius, similarity).where("doc_id = group").select(F.col("doc_id").alias(key))
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return rows.join(kept, F.col("doc_id") == F.col(key), "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
