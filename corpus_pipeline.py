@@ -10,13 +10,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm.common import table
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.language import keep_identified
 from tidemark.llm.mixing import repeat_by_mix
 from tidemark.llm.sharding import shard
 from tidemark.llm.simhash import drop_near_duplicates
-from tidemark.session import ship
+from tidemark.session import own_dir, ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8), that of the smallest doc_id."""
     ship(spark)
     return drop_near_duplicates(docs)
 
@@ -58,7 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/tidemark/pipeline-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.withColumns({c: F.col(c).cast("string") for c, kind in out.dtypes if kind == "void"}).write.parquet(f"{base}/{name}")
