@@ -19,7 +19,7 @@ SEED = 42
 #: A half-word bucket of more fingerprints is not paired; its members emit their whole ball instead.
 PAIRED = 256
 #: Near copies of the pipeline: words of a shingle, similarity of their sets, and independent tables of fingerprints in which a pair may be close.
-STAGE_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 6
+STAGE_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 3
 _TABLE = 0xA24BAED4963EE407
 #: Bucket keys of 16 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
