@@ -124,8 +124,8 @@ def test_scenario_confidence(spark, incident):
     e = graph.reinforced(graph.roll_up(incident), fix).drop("times", "evidence_count")
     assert sorted((r["src"], round(r["confidence"], 6), r["count"], r["relation"]) for r in e.collect()) == [("C", 0.35, 1, "upstream_call"), ("P", 0.35, 1, "deploy_to_metric")]
     again = spark.createDataFrame([("P", "P", "deploy_to_metric", "8", 0.0, 240.0, 8)], incident.schema)
-    e = graph.reinforced(graph.roll_up(incident.unionByName(again)), fix)
-    chain = graph.causal_chain(start, e)
+    e = cut(graph.reinforced(graph.roll_up(incident.unionByName(again)), fix))
+    chain = cut(graph.causal_chain(start, e))
     assert rows(graph.chain_confidence(chain))[0][1:] == (4, pytest.approx(0.375))
     roots = graph.root_causes(start, e)
     assert [(r[1], r[2], round(r[3], 6)) for r in rows(roots)] == [("C", 1, 0.35)]
