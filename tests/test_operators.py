@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats as S
 from tidemark.functions import text as X
-from tidemark.operators import association, context, evaluate, experiments, graph, identity, motifs, options, retrieval, temporal
+from tidemark.operators import association, context, evaluate, experiments, graph, identity, motifs, options, related, retrieval, temporal
+from tidemark.plans import queries
 from tidemark.session import cut
 from tidemark.sources import events as E
 from tidemark.sources import reports
@@ -529,3 +530,61 @@ def test_representatives_and_action_score(spark):
     assert sorted(r["seq"] for r in retrieval.representatives(m).collect()) == [1, 3]
     assert retrieval.action_score(m, "restart").first()["score"] == 0.1
     assert retrieval.action_score(m, "drain").first()["score"] == 0.0
+
+
+# related events without pairs
+
+
+def most_rows(df):
+    """The most rows that an operator of the plan made, df being computed."""
+    df.collect()
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        metric = node.metrics().get("numOutputRows")
+        below = node.children()
+        return max([metric.get().value() if metric.isDefined() else 0, *(walk(below.apply(i)) for i in range(below.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture(scope="module")
+def one_trace(spark, tmp_path_factory):
+    """400 services that each signal once, all in one trace."""
+    folder = tmp_path_factory.mktemp("one_trace")
+    rows = [(i, datetime(2024, 1, 1, 1, i // 60, i % 60), i, "purchase", 10.0, '{"k": 5}') for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def related_cases(spark):
+    """Signals and events at random: traces longer than a window, two services each, ties, events of no trace, service or time."""
+    rng = random.Random(7)
+    e = []
+    for i in range(400):
+        kind = rng.choice(["deploy", "metric", "log", "trace", "incident_signal", "remediation"])
+        e.append((i * 7 % 400, None if rng.random() < 0.03 else float(rng.randrange(6000)), rng.choice(["a", "b", "c", "d", None]), kind, rng.choice([None, *range(12)]), f"{kind}{rng.randrange(2)}"))
+    df = spark.createDataFrame(e, "event_id long, ts double, cid string, kind string, trace_id long, token string")
+    s = df.where("kind = 'incident_signal' and ts is not null").select(F.col("event_id").alias("signal_id"), F.col("ts").alias("anchor"), "cid")
+    near = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("d", "d")], "cid string, near string")
+    return s, df, near
+
+
+@pytest.mark.parametrize("as_of", [False, True])
+def test_trace_counts_are_those_of_the_pairs(spark, as_of):
+    s, e, near = related_cases(spark)
+    pairs = temporal.related_events(s, e, near.where("false"), as_of=as_of).where("via = 1").join(s.select("signal_id", "cid"), "signal_id")
+    want = pairs.groupBy("signal_id").agg(F.count("*"), F.count_if(F.col("e_cid") != F.col("cid")), F.max("event_id"))
+    own = related.own_events(temporal.adaptive_window(s, e), e)
+    got = sorted(rows(related.trace_counts(own, e, as_of=as_of)))
+    assert len(got) > 30 and got == sorted(rows(want))
+
+
+def test_trace_correlation_makes_no_pairs(spark, one_trace):
+    got = queries.q_trace_correlation(spark, one_trace)
+    assert most_rows(got) <= 10 * 400
+    assert {tuple(r)[1:3] for r in got.collect()} == {(399, 399)}
