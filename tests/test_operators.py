@@ -588,3 +588,30 @@ def test_trace_correlation_makes_no_pairs(spark, one_trace):
     got = queries.q_trace_correlation(spark, one_trace)
     assert most_rows(got) <= 10 * 400
     assert {tuple(r)[1:3] for r in got.collect()} == {(399, 399)}
+
+
+def test_lift_of_related_events_is_that_of_the_pairs(spark):
+    s, e, near = related_cases(spark)
+    want = context.token_lift(temporal.related_events(s, e, near))
+    chosen = temporal.adaptive_window(s, e)
+    own = related.own_events(chosen, e)
+    loose = related.loose_tokens(own, related.near_events(chosen, e, near, related.traces_of(own)))
+    cols = ["signal_id", "token", "near", "back", "lift", "kept"]
+    got = sorted(rows(related.related_lift(own, e, loose).select(*cols)))
+    assert len(got) > 100 and got == sorted(rows(want.select(*cols)))
+
+
+def test_trace_ranks_over_batches():
+    import pyarrow as pa
+
+    table = pa.table({"trace_id": [1, 1, 1, 2, 2, 3], "signal_id": [9, None, None, None, 8, 7], "token": [None, "x", "x", "y", None, None], "at": [100.0, 90.0, 101.0, 50.0, 50.0, 1.0]})
+    want = [(9, "x", 1, 0), (8, "y", 1, 0)]
+    for size in (1, 2, 4, 6):
+        got = pa.Table.from_batches(list(related._trace_ranks(1.0)(iter(table.to_batches(size))))).to_pylist()
+        assert [tuple(r.values()) for r in got] == want
+
+
+def test_lift_prune_makes_no_pairs(spark, one_trace):
+    got = queries.q_lift_prune(spark, one_trace)
+    assert most_rows(got) <= 10 * 400
+    assert got.agg(F.max("near")).first()[0] == 400
