@@ -615,3 +615,9 @@ def test_lift_prune_makes_no_pairs(spark, one_trace):
     got = queries.q_lift_prune(spark, one_trace)
     assert most_rows(got) <= 10 * 400
     assert got.agg(F.max("near")).first()[0] == 400
+
+
+def test_trace_as_of_makes_no_pairs(spark, one_trace):
+    got = queries.q_trace_as_of(spark, one_trace)
+    assert most_rows(got) <= 10 * 400
+    assert sorted(rows(got)) == [(i, i, i, i - 1) for i in range(1, 400)]
