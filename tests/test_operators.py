@@ -621,3 +621,22 @@ def test_trace_as_of_makes_no_pairs(spark, one_trace):
     got = queries.q_trace_as_of(spark, one_trace)
     assert most_rows(got) <= 10 * 400
     assert sorted(rows(got)) == [(i, i, i, i - 1) for i in range(1, 400)]
+
+
+def test_pruned_counts_are_those_of_the_pairs(spark):
+    s, e, near = related_cases(spark)
+    r = cut(temporal.related_events(s, e, near))
+    left = context.lift_pruned(r, context.token_lift(r)).groupBy("signal_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
+    want = r.groupBy("signal_id").agg(F.count("*").alias("n_before")).join(left, "signal_id")
+    chosen = temporal.adaptive_window(s, e)
+    own = related.own_events(chosen, e)
+    loose = related.loose_tokens(own, related.near_events(chosen, e, near, related.traces_of(own)))
+    kept = related.related_lift(own, e, loose).where("kept")
+    assert sorted(rows(related.pruned_counts(own, e, loose, kept))) == sorted(rows(want))
+
+
+def test_lift_pruned_makes_no_pairs(spark, one_trace, monkeypatch):
+    monkeypatch.setattr(temporal, "related_events", None)  # the pairs, whose lineage the query used to cut
+    got = queries.q_lift_pruned(spark, one_trace)
+    assert most_rows(got) <= 10 * 400
+    assert {tuple(r)[1:] for r in got.collect()} == {(400, 400, 400 * 399 // 2)}
