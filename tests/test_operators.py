@@ -640,3 +640,19 @@ def test_lift_pruned_makes_no_pairs(spark, one_trace, monkeypatch):
     got = queries.q_lift_pruned(spark, one_trace)
     assert most_rows(got) <= 10 * 400
     assert {tuple(r)[1:] for r in got.collect()} == {(400, 400, 400 * 399 // 2)}
+
+
+def test_related_counts_are_those_of_the_pairs(spark):
+    s, e, near = related_cases(spark)
+    pairs = temporal.related_events(s, e, near)
+    want = pairs.groupBy("signal_id").agg(F.count("*"), *[F.count_if(F.col("via") == v) for v in range(3)], F.sum("event_id"))
+    chosen = temporal.adaptive_window(s, e)
+    own = related.own_events(chosen, e)
+    loose = related.loose_tokens(own, related.near_events(chosen, e, near, related.traces_of(own)))
+    assert sorted(rows(related.related_counts(own, e, loose))) == sorted(rows(want))
+
+
+def test_related_window_makes_no_pairs(spark, one_trace):
+    got = queries.q_related_window(spark, one_trace)
+    assert most_rows(got) <= 10 * 400
+    assert {tuple(r)[1:5] for r in got.collect()} == {(400, 1, 399, 0)}
