@@ -656,3 +656,47 @@ def test_related_window_makes_no_pairs(spark, one_trace):
     got = queries.q_related_window(spark, one_trace)
     assert most_rows(got) <= 10 * 400
     assert {tuple(r)[1:5] for r in got.collect()} == {(400, 1, 399, 0)}
+
+
+def test_root_causes_make_no_graph_of_a_start(spark, monkeypatch):
+    """Against all graphs by loops: sparse ones without a free node beside dense ones, loops, weak edges, evidence of several edges."""
+    monkeypatch.setattr(graph, "causal_chain", None)  # the start's graph, which used to be written for every start
+    rng = random.Random(3)
+    e, seen = {}, set()
+    for part, size, many in (("a", 5, 12), ("b", 9, 14), ("c", 14, 17), ("d", 30, 34), ("e", 6, 6)):
+        ring = [(i, (i + 1) % size) for i in range(size)] if part == "e" else []
+        for a, b in [*ring, *((rng.randrange(size), rng.randrange(size)) for _ in range(0 if ring else many))]:
+            src, dst = f"{part}{a:02d}", f"{part}{b:02d}"
+            e[src, dst] = (round(rng.choice([0.2, 0.3, 0.5, 0.95]), 2) if not ring else 0.5, float(rng.randrange(100)))
+            seen |= {(src, dst, rng.randrange(40)) for _ in range(rng.randrange(4))}
+    deployed = {n: float(rng.randrange(100)) for n in sorted({n for k in e for n in k}) if rng.random() < 0.4}
+    nodes = sorted({n for k in e for n in k}) + ["alone"]
+
+    def want(start):
+        good = {k: v for k, v in e.items() if v[0] >= 0.25}
+        near = {start}
+        for _ in range(3):
+            near |= {y for k in good for x, y in (k, k[::-1]) if x in near}
+        own = {k: v for k, v in good.items() if set(k) & near}
+        every = {n for k in own for n in k} | {start}
+        n = {x: sum(k[1] == x for k in own) for x in every}
+        roots = {x for x in every if n[x] == 0} or {x for x in every if n[x] == 1 and x != start}
+        paths, level = {start: (start,)}, {start: (start,)}
+        for _ in range(4):
+            step = {}
+            for x, path in level.items():
+                for a, b in own:
+                    if b == x and a != b and a not in paths:
+                        step[a] = min(step.get(a, ("~",)), (a, *path))
+            level = step
+            paths |= step
+        for x in roots & set(paths):
+            steps = list(zip(paths[x], paths[x][1:]))
+            times = [own[s][1] for s in steps] + ([deployed[x]] if x in deployed else [])
+            sure = sum(own[s][0] for s in steps) / len(steps) if steps else 0.0
+            yield start, x, len(steps), round(sure, 9), len({v for s, d, v in seen if (s, d) in steps}), min(times, default=None), paths[x]
+
+    frame = spark.createDataFrame([(*k, "upstream_call", *v) for k, v in e.items()], "src string, dst string, relation string, confidence double, first_seen double")
+    got = graph.root_causes(spark.createDataFrame([(n,) for n in nodes], "cid string"), frame, spark.createDataFrame(sorted(seen), "src string, dst string, evidence long"), spark.createDataFrame(sorted(deployed.items()), "cid string, ts double"))
+    got = sorted((r["start"], r["cid"], r["hops"], round(r["confidence"], 9), r["evidence_count"], r["earliest"], tuple(r["path"])) for r in got.collect())
+    assert got == sorted(w for n in nodes for w in want(n)) and any(r[1] != r[0] and r[4] for r in got)
