@@ -700,3 +700,8 @@ def test_root_causes_make_no_graph_of_a_start(spark, monkeypatch):
     got = graph.root_causes(spark.createDataFrame([(n,) for n in nodes], "cid string"), frame, spark.createDataFrame(sorted(seen), "src string, dst string, evidence long"), spark.createDataFrame(sorted(deployed.items()), "cid string, ts double"))
     got = sorted((r["start"], r["cid"], r["hops"], round(r["confidence"], 9), r["evidence_count"], r["earliest"], tuple(r["path"])) for r in got.collect())
     assert got == sorted(w for n in nodes for w in want(n)) and any(r[1] != r[0] and r[4] for r in got)
+
+
+def test_context_full_makes_no_pairs(spark, one_trace, monkeypatch):
+    monkeypatch.setattr(temporal, "related_events", None)  # the pairs, whose lineage the query used to cut
+    assert {r["related"] for r in queries.q_context_full(spark, one_trace).collect()} == {400}
