@@ -21,8 +21,6 @@ PAIRED = 256
 #: Near copies of the pipeline: words of a shingle, similarity of their sets, and independent tables of fingerprints in which a pair may be close.
 STAGE_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 6
 _TABLE = 0xA24BAED4963EE407
-#: Bucket keys of 16 bytes that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -95,31 +93,57 @@ ELSE v = 4294967296 + CASE bit_count(({hi}) ^ ({hi2}))
 END"""
 
 
+def _meeting(radius: int, paired: int):
+    """What scans (fp, v) sorted by v and fp: (v, a, b, n) of the close pairs a < b in a bucket of n up to `paired`, and (v, fp, fp, n) of the
+    members of larger ones."""
+
+    def scan(v, fp):
+        new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        size = np.diff(np.append(new, len(v)))
+        end, n = np.repeat(new + size, size), np.repeat(size, size)
+        hot = np.flatnonzero(n > paired)
+        out = [(hot, hot)]
+        i, k = np.flatnonzero((n > 1) & (n <= paired)), 1
+        while len(i):
+            i = i[i + k < end[i]]
+            close = i[np.bitwise_count((fp[i] ^ fp[i + k]).view(np.uint64)) <= radius]
+            out.append((close, close + k))
+            k += 1
+        a, b = (np.concatenate([x[j] for x in out]) for j in range(2))
+        cols = [pa.array(v[a]), pa.array(fp[a]), pa.array(fp[b]), pa.array(n[a].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, names=["v", "a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 2
+        for batch in batches:
+            held = [np.concatenate([a, np.asarray(batch.column(c))]) for a, c in zip(held, ("v", "fp"))]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last bucket may go on in the next batch
+            if cut:
+                yield scan(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield scan(*held)
+
+    return run
+
+
 def links(fps: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> DataFrame:
     """(a, b) over distinct fingerprints, with the components of "at most `radius` bits apart".
 
     Of two 32-bit halves one differs in at most radius // 2 bits, so balls of radius // 4 around the halves meet (33 variants for each half
-    instead of 2,081 of the whole). Buckets of two give their pair from one aggregation; larger ones up to `paired` are joined and
-    verified; members of still larger ones (clusters of near copies) emit their whole balls, which need no pairs.
+    instead of 2,081 of the whole). One shuffle sorts the variants, and a scan compares the members of each bucket up to `paired`, without a join;
+    members of larger ones (clusters of near copies) emit their whole balls, which need no pairs.
     """
     if radius % 4:
         raise ValueError("radius must be a multiple of 4")
     lower, upper = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned("fp", 32)
     both = F.array(lower.bitwiseXOR(F.col("m")), upper.bitwiseXOR(F.col("m")).bitwiseOR(F.lit(1 << 32)))
     variants = fps.select("fp", F.explode(_mask_array(32, radius // 4)).alias("m")).select("fp", F.explode(both).alias("v"))
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     once = F.expr(_LEAST_SHARED.format(lo="a & 4294967295", lo2="b & 4294967295", hi="shiftrightunsigned(a, 32)", hi2="shiftrightunsigned(b, 32)"))
-    buckets = variants.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    buckets = stored(buckets, "simhash-buckets")
-    twos = buckets.where("n = 2").select("a", "b").where(close)
-    many = buckets.where("n > 2").select("v", "n")
-    few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    some = stored(variants.join(F.broadcast(many), "v") if few else variants.hint("merge").join(many, "v"), "simhash-some")
-    small = some.where(f"n <= {paired}")
-    near = close & (once if radius == 4 else F.lit(True))
-    pairs = small.select("v", F.col("fp").alias("a")).hint("merge").join(small.select("v", F.col("fp").alias("b")), "v").where("a < b").where(near).select("a", "b")
-    hot = some.where(f"n > {paired}").select("fp").distinct()
-    return twos.unionByName(pairs).unionByName(whole_ball_links(stored(hot, "simhash-hot"), radius)).distinct()
+    met = variants.repartition("v").sortWithinPartitions("v", "fp").mapInArrow(_meeting(radius, paired), "v long, a long, b long, n int")
+    met = stored(met.where((F.col("a") == F.col("b")) | (F.col("n") == 2) | (once if radius == 4 else F.lit(True))).select("a", "b").distinct(), "simhash-met")
+    hot = met.where("a = b").select(F.col("a").alias("fp"))
+    return met.where("a <> b").unionByName(whole_ball_links(stored(hot, "simhash-hot"), radius)).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
