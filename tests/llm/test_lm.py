@@ -206,3 +206,12 @@ def test_very_long_text(spark):
     rows = [(0, "kappa " * 400_000 + "y" * 100_000, "en", "a", 0), (1, "kappa", "en", "a", 0)]
     got = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[0]["n_tokens"] == 400_002 and math.isfinite(got[0]["score"]) and got[0]["score"] < got[1]["score"] < 0
+
+
+def test_rounds_train_on_every_word():
+    text = [f"w{k}" for k in range(101)]
+    asked = []
+    for turn in range(lm.ROUNDS):
+        got, at, silent = lm.runs(lm.pa.array(text, lm.pa.large_string()), np.array([0, len(text)]), turn)
+        asked += [w for w, quiet in zip(got.to_pylist(), silent) if not quiet]
+    assert sorted(asked) == sorted(text)
