@@ -462,6 +462,48 @@ def test_passages_with_fragments_in_smaller_documents(spark):
     assert {(r["doc_id"], r["first_doc_id"]) for r in got} == want
 
 
+@pytest.mark.parametrize("changed, every", [(False, False), (True, True)])
+def test_passages_with_fragments_between_their_documents(spark, changed, every):
+    """Of a passage every seed is in fragments in the smallest documents and in those just before the last: the two whole ones are linked."""
+    rng, rows, want = random.Random(25), [], set()
+    put = lambda p: f"{words(rng, 40)} {' '.join(p)} {words(rng, 30)}"
+    for k in range(20):
+        passage, base = words(rng, 60).split(), 100 * k
+        other = [*passage[:30], "changed", *passage[31:]] if changed else passage
+        for lo in (0, 10, 20):
+            for n, of in ((0, passage), (20, passage), (30, passage), (40, other), (50, other)):
+                rows.append((base + n + lo // 10, put(of[lo : lo + 40])))
+        rows += [(base + 10, put(passage)), (base + 90, put(other))]
+        want.add((base + 90, base + 10))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), every=every).collect()
+    assert sorted((r["doc_id"], r["first_doc_id"]) for r in got) == sorted(want)
+    assert all(r["end"] - r["start"] >= 60 for r in got)
+
+
+def test_passages_of_one_repeated_word(spark):
+    """A run of one word within other words, longer than that of the smaller document: all of it is covered."""
+    rng = random.Random(27)
+    rows = [(d, f"{words(rng, 20 + d)} {'and ' * n}{words(rng, 20)}") for d, n in enumerate((70, 60, 65, 300, 173, 419))]
+    found = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]].update(range(r["start"], r["end"]))
+    for d, n in ((1, 60), (2, 65), (3, 300), (4, 173), (5, 419)):
+        assert set(range(20 + d, 20 + d + n)) <= found[d], d
+
+
+def test_passages_keep_equal_words_among_unlike_ones(spark):
+    """55 equal words between words of which two in seven are changed: with those the two are not alike by 0.8, the equal ones are found."""
+    rng, rows = random.Random(26), []
+    for k in range(3):
+        left, passage, right = words(rng, 120).split(), words(rng, 55).split(), words(rng, 120).split()
+        other = [w if i % 7 not in (5, 6) else "changed" for i, w in enumerate(right)]
+        back = [w if i % 7 not in (5, 6) else "changed" for i, w in enumerate(left[::-1])][::-1]
+        rows += [(2 * k, " ".join(left + passage + right)), (2 * k + 1, " ".join(back + passage + other))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), identity=0.85).collect()
+    assert {(r["doc_id"], r["first_doc_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(3)}
+    assert all(r["start"] <= 120 and r["end"] >= 175 for r in got)
+
+
 def local_alignment(a, b):
     """Best local alignment of two word lists, +1 for equal words and -2 for a change, an insertion or a deletion: (score, a start, a end)."""
     best, row = (0, 0, 0), [(0, 0)] * (len(b) + 1)
