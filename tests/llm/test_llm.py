@@ -204,6 +204,25 @@ def test_similar_groups_against_all_pairs(spark, docs, none):
     assert simhash.drop_near_duplicates(none, tables=1).count() == 0
 
 
+def test_near_copies_are_not_paired_with_each_other(spark):
+    """400 texts with another word each changed: no more candidates than members of buckets, and none between texts that are linked by then."""
+    rng = random.Random(28)
+    base = words(rng, 400).split()
+    rows = [(i, " ".join([*base[:i], "changed", *base[i + 1 :]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["group"] for r in simhash.similar_groups(df, tables=1).collect()} == {0}
+    fps = [(0x0123456789ABCDEF ^ (1 << i % 32) ^ (1 << 32 + i // 32), i) for i in range(400)]
+    members = simhash.buckets_of(spark.createDataFrame(fps, "fp long, node long"))
+    pairs = simhash.pivot_pairs(members)
+    assert {r["y"] for r in pairs.collect()} >= set(range(32, 400)) and pairs.count() <= 66 * 400
+    roots = simhash.components(pairs.withColumnsRenamed({"x": "a", "y": "b"}))
+    assert simhash.other_pairs(members, roots).count() == 0
+    # Nothing linked yet: all pairs of different nodes come out, each once.
+    alone = simhash.other_pairs(members, roots.limit(0)).collect()
+    close = {(i, j) for a, i in fps for b, j in fps if i < j and (a ^ b).bit_count() <= 4}
+    assert len(alone) == len(close) and {tuple(r) for r in alone} == close
+
+
 def test_simhash_whole_balls_give_the_same(docs):
     a, b = (sorted(map(str, simhash.near_duplicates(docs, balls=x).collect())) for x in ("halves", "whole"))
     assert a == b

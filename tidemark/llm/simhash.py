@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, discard, fresh, mixed, release, slices, stored, table, utf8, window_hashes, word_bounds, word_hashes
@@ -122,6 +122,45 @@ def links(fps: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> DataFra
     return twos.unionByName(pairs).unionByName(whole_ball_links(stored(hot, "simhash-hot"), radius)).distinct()
 
 
+def buckets_of(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(v, fp, node, pivot_fp, pivot): nodes (fp, node) in every half-word bucket of theirs that has others, as links() makes them, with the smallest
+    node there. Two nodes at most `radius` bits apart have a bucket in common."""
+    if radius % 4:
+        raise ValueError("radius must be a multiple of 4")
+    lower, upper = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned("fp", 32)
+    both = F.array(lower.bitwiseXOR(F.col("m")), upper.bitwiseXOR(F.col("m")).bitwiseOR(F.lit(1 << 32)))
+    variants = nodes.select("fp", "node", F.explode(_mask_array(32, radius // 4)).alias("m")).select("fp", "node", F.explode(both).alias("v"))
+    first = variants.groupBy("v").agg(F.min(F.struct("node", "fp")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first.select("v", F.col("p.fp").alias("pivot_fp"), F.col("p.node").alias("pivot")), "dedup-buckets")
+    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return stored(variants.join(F.broadcast(first), "v") if few else variants.hint("merge").join(first, "v"), "dedup-members")
+
+
+def pivot_pairs(members: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(x, y): each of buckets_of() with the smallest node of its bucket, if at most `radius` bits apart: as many rows as members, at most."""
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot_fp"))) <= radius
+    return members.where("node <> pivot").where(close).select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
+
+
+def other_pairs(members: DataFrame, roots: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(x, y): nodes of one bucket at most `radius` bits apart whose root in roots (node, root) is not the same; a node not in it is its own.
+
+    In a bucket only the members outside its most frequent root are joined with the others, so that a bucket of one root makes no pairs and
+    the few beside a large one make few.
+    """
+    rooted = members.select("v", "fp", "node").join(roots, "node", "left").select("v", "fp", "node", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.withColumn("n", F.count("*").over(Window.partitionBy("v", "root")))
+    of = Window.partitionBy("v")
+    rooted = rooted.withColumns({"most": F.max(F.struct("n", "root")).over(of), "lo": F.min("root").over(of), "hi": F.max("root").over(of)})
+    rooted = stored(rooted.where("lo <> hi").select("v", "fp", "node", "root", (F.col("root") == F.col("most.root")).alias("main")), "dedup-rooted")
+    left = rooted.where("not main").select("v", F.col("fp").alias("a"), F.col("node").alias("x"), F.col("root").alias("ra"))
+    right = rooted.select("v", F.col("fp").alias("b"), F.col("node").alias("y"), F.col("root").alias("rb"), "main")
+    once = F.expr(_LEAST_SHARED.format(lo="a & 4294967295", lo2="b & 4294967295", hi="shiftrightunsigned(a, 32)", hi2="shiftrightunsigned(b, 32)"))
+    close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (once if radius == 4 else F.lit(True))
+    pairs = left.hint("merge").join(right, "v").where("ra <> rb and (main or x < y)").where(close)
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): alternating large and small stars, each round written to the shared folder."""
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
@@ -194,8 +233,9 @@ def table_fingerprints(h: np.ndarray, first: np.ndarray, tables: int) -> np.ndar
 def similar_groups(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """(doc_id, group) of the documents with an id: texts linked by SimHash whose sets of word shingles have a Jaccard similarity of `similarity`.
 
-    Candidates are fingerprints of at most `radius` differing bits in one of `tables` independent tables, found by ball hashing; each pair is then
-    checked by its shingles. Texts with the same fingerprint in all tables count as one. group is the smallest doc_id of the linked. Of rows that
+    Candidates are fingerprints of at most `radius` differing bits in one of `tables` independent tables, found by ball hashing; they are checked by
+    their shingles: first each member of a bucket with the smallest one there, then those pairs of a bucket that this has not linked, over however many
+    steps. So the groups are those of all pairs, and copies of one text are not paired with each other. Texts with the same fingerprint in all tables count as one. group is the smallest doc_id of the linked. Of rows that
     repeat an id the first by its fingerprints counts.
     """
 
@@ -210,18 +250,12 @@ def similar_groups(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS,
     one = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names)), "dedup-fp")
     one = one.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("f")).select("doc_id", "f.*")
     same = stored(one.groupBy(*names).agg(F.min("doc_id").alias("least")), "dedup-distinct")
-    pairs = None
+    members, first = [], None
     for c in names:
-        of = stored(same.groupBy(F.col(c).alias("fp")).agg(F.min("least").alias("rep")), "dedup-table")
-        near = links(of.select("fp"), radius)
-        near = near.join(of.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-        equal = same.join(of, F.col(c) == F.col("fp")).where("least <> rep").select(F.col("rep").alias("x"), F.col("least").alias("y"))
-        got = stored(near.unionByName(equal), "dedup-pairs")
-        pairs = got if pairs is None else pairs.unionByName(got)
-        del near, equal, of
+        members.append(buckets_of(same.select(F.col(c).alias("fp"), F.col("least").alias("node")), radius))
+        got = stored(pivot_pairs(members[-1], radius), "dedup-pairs")
+        first = got if first is None else first.unionByName(got)
         release(docs.sparkSession)
-    pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "dedup-candidates")
-    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,8 +264,6 @@ def similar_groups(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS,
                 packed = [np.unique(h[lo:hi]).tobytes() for lo, hi in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "s"])
 
-    shingles = stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").groupBy("doc_id").agg(F.min("s").alias("s")), "dedup-shingles")
-
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -242,8 +274,30 @@ def similar_groups(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS,
                 ok.append(both >= similarity * whole)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sided = pairs.join(shingles.withColumnRenamed("doc_id", "x").withColumnRenamed("s", "sx"), "x").join(shingles.withColumnRenamed("doc_id", "y").withColumnRenamed("s", "sy"), "y").select("x", "y", "sx", "sy")
-    found = components(sided.mapInArrow(alike, "a long, b long"))
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (x, y) whose texts are alike, as (a, b). A text of many pairs is joined in as many copies as it has hundreds of them."""
+        pairs = stored(pairs.distinct(), "dedup-candidates")
+        wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
+        shingles = stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").groupBy("doc_id").agg(F.min("s").alias("s")), "dedup-shingles")
+        many = stored(pairs.groupBy("x").count().where("count > 100").select("x", F.ceil(F.col("count") / 100).alias("copies")), "dedup-many")
+        if many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            many = F.broadcast(many)
+        copies = F.coalesce("copies", F.lit(1).cast("long"))
+        dealt = pairs.join(many, "x", "left").select("x", "y", F.pmod(F.xxhash64("y"), copies).alias("copy"))
+        side = shingles.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")).join(many, "x", "left")
+        side = side.select("x", "sx", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+        sided = dealt.join(side, ["x", "copy"]).select("x", "y", "sx")
+        sided = sided.join(shingles.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y").select("x", "y", "sx", "sy")
+        return stored(sided.mapInArrow(alike, "a long, b long"), "dedup-alike")
+
+    edges = checked(first)
+    roots = components(edges)
+    others = None
+    for of in members:
+        got = stored(other_pairs(of, roots, radius), "dedup-others")
+        others = got if others is None else others.unionByName(got)
+        release(docs.sparkSession)
+    found = components(edges.unionByName(checked(others.distinct().join(first.distinct(), ["x", "y"], "left_anti"))))
     rooted = same.join(found, F.col("least") == F.col("node"), "left").select(*names, F.coalesce("root", "least").alias("root"))
     return one.join(rooted, names).select("doc_id", F.col("root").alias("group"))
 
