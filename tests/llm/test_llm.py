@@ -223,6 +223,22 @@ def test_near_copies_are_not_paired_with_each_other(spark):
     assert len(alone) == len(close) and {tuple(r) for r in alone} == close
 
 
+def test_buckets_hold_what_may_be_linked_without_a_join(spark):
+    """A half that 100 texts share is one bucket and not 33; buckets of one root, and pairs by chance, are none; all close pairs of two roots are found."""
+    rng = random.Random(61)
+    fps = [(rng.getrandbits(31) << 32 | 0x1234567, i) for i in range(100)]
+    df = spark.createDataFrame(fps, "fp long, node long")
+    members = simhash.buckets_of(df)
+    assert members.where(F.col("v") == 0x1234567).count() == 100 and members.count() <= 120
+    assert "Join" not in members._jdf.queryExecution().optimizedPlan().toString()
+    assert simhash.buckets_of(df.withColumn("root", F.lit(0).cast("long"))).count() == 0
+    seeds = [rng.getrandbits(63) for _ in range(12)]
+    near = [(rng.choice(seeds) ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(6))), i, rng.randrange(3)) for i in range(300)]
+    found = simhash.other_pairs(simhash.buckets_of(spark.createDataFrame(near, "fp long, node long, root long"))).collect()
+    want = {(i, j) for a, i, r in near for b, j, q in near if i < j and r != q and (a ^ b).bit_count() <= 4}
+    assert len(found) == len(want) > 1000 and {tuple(r) for r in found} == want
+
+
 def test_simhash_whole_balls_give_the_same(docs):
     a, b = (sorted(map(str, simhash.near_duplicates(docs, balls=x).collect())) for x in ("halves", "whole"))
     assert a == b

@@ -123,17 +123,27 @@ def links(fps: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> DataFra
 
 
 def buckets_of(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(v, fp, node, pivot_fp, pivot): nodes (fp, node) in every half-word bucket of theirs that has others, as links() makes them, with the smallest
-    node there. Two nodes at most `radius` bits apart have a bucket in common."""
+    """(v, fp, node, root, pivot_fp, pivot): nodes (fp, node, and root if they have one) in the half-word buckets of links(), with the smallest node there.
+
+    Two nodes at most `radius` bits apart have a bucket in common, and that of _LEAST_SHARED is among them. Left out are buckets of one node, of two
+    that are not close, of one root, and those around a half that all members have, but for that half's own. The members come from a sort of the
+    variants, so that nothing is joined here and a group costs its members' variants whatever its size.
+    """
     if radius % 4:
         raise ValueError("radius must be a multiple of 4")
-    lower, upper = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned("fp", 32)
-    both = F.array(lower.bitwiseXOR(F.col("m")), upper.bitwiseXOR(F.col("m")).bitwiseOR(F.lit(1 << 32)))
-    variants = nodes.select("fp", "node", F.explode(_mask_array(32, radius // 4)).alias("m")).select("fp", "node", F.explode(both).alias("v"))
-    first = variants.groupBy("v").agg(F.min(F.struct("node", "fp")).alias("p"), F.count("*").alias("n")).where("n > 1")
-    first = stored(first.select("v", F.col("p.fp").alias("pivot_fp"), F.col("p.node").alias("pivot")), "dedup-buckets")
-    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return stored(variants.join(F.broadcast(first), "v") if few else variants.hint("merge").join(first, "v"), "dedup-members")
+    rooted = [c for c in nodes.columns if c == "root"]
+    halves = F.array(F.struct(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("h")), F.struct(F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)).alias("h")))
+    variants = nodes.select("fp", "node", *rooted, F.inline(halves)).withColumn("m", F.explode(_mask_array(32, radius // 4)))
+    variants = variants.select(F.col("h").bitwiseXOR(F.col("m")).alias("v"), "h", "fp", "node", *rooted)
+    of = Window.partitionBy("v")
+    first = of.orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = {"n": F.count("*").over(of), "apart": F.bit_count(F.bit_xor("fp").over(of)), "one": F.min("h").over(of) == F.max("h").over(of), "own": F.max(F.col("h") == F.col("v")).over(of)}
+    held |= {"pivot_fp": F.first("fp").over(first), "pivot": F.first("node").over(first)}
+    several = (F.col("n") > 2) | (F.col("n") == 2) & (F.col("apart") <= radius)
+    if rooted:
+        held["roots"] = F.min("root").over(of) < F.max("root").over(of)
+        several &= F.col("roots")
+    return variants.withColumns(held).where(several & (~F.col("one") | F.col("own"))).select("v", "fp", "node", *rooted, "pivot_fp", "pivot")
 
 
 def pivot_pairs(members: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -142,13 +152,18 @@ def pivot_pairs(members: DataFrame, radius: int = RADIUS) -> DataFrame:
     return members.where("node <> pivot").where(close).select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
 
 
-def other_pairs(members: DataFrame, roots: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(x, y): nodes of one bucket at most `radius` bits apart whose root in roots (node, root) is not the same; a node not in it is its own.
+def with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes with the column root of roots (node, root); a node not in it is its own."""
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def other_pairs(members: DataFrame, roots: DataFrame | None = None, radius: int = RADIUS) -> DataFrame:
+    """(x, y): nodes of one bucket at most `radius` bits apart whose root is not the same; roots, if given, has those of members without a column root.
 
     In a bucket only the members outside its most frequent root are joined with the others, so that a bucket of one root makes no pairs and
     the few beside a large one make few.
     """
-    rooted = members.select("v", "fp", "node").join(roots, "node", "left").select("v", "fp", "node", F.coalesce("root", "node").alias("root"))
+    rooted = (members if roots is None else with_roots(members, roots)).select("v", "fp", "node", "root")
     rooted = rooted.withColumn("n", F.count("*").over(Window.partitionBy("v", "root")))
     of = Window.partitionBy("v")
     rooted = rooted.withColumns({"most": F.max(F.struct("n", "root")).over(of), "lo": F.min("root").over(of), "hi": F.max("root").over(of)})
@@ -250,10 +265,9 @@ def similar_groups(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS,
     one = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names)), "dedup-fp")
     one = one.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("f")).select("doc_id", "f.*")
     same = stored(one.groupBy(*names).agg(F.min("doc_id").alias("least")), "dedup-distinct")
-    members, first = [], None
+    first = None
     for c in names:
-        members.append(buckets_of(same.select(F.col(c).alias("fp"), F.col("least").alias("node")), radius))
-        got = stored(pivot_pairs(members[-1], radius), "dedup-pairs")
+        got = stored(pivot_pairs(buckets_of(same.select(F.col(c).alias("fp"), F.col("least").alias("node")), radius), radius), "dedup-pairs")
         first = got if first is None else first.unionByName(got)
         release(docs.sparkSession)
 
@@ -291,10 +305,10 @@ def similar_groups(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS,
         return stored(sided.mapInArrow(alike, "a long, b long"), "dedup-alike")
 
     edges = checked(first)
-    roots = components(edges)
+    rooted = stored(with_roots(same.withColumnRenamed("least", "node"), components(edges)), "dedup-roots")
     others = None
-    for of in members:
-        got = stored(other_pairs(of, roots, radius), "dedup-others")
+    for c in names:
+        got = stored(other_pairs(buckets_of(rooted.select(F.col(c).alias("fp"), "node", "root"), radius), radius=radius), "dedup-others")
         others = got if others is None else others.unionByName(got)
         release(docs.sparkSession)
     found = components(edges.unionByName(checked(others.distinct().join(first.distinct(), ["x", "y"], "left_anti"))))
