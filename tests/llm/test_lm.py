@@ -163,6 +163,22 @@ def test_learner_is_silent_where_told(small):
     assert learner.learnt == (lm.asked(text) > 0).sum() and all(np.array_equal(before[k], v) for k, v in learner.w.items())
 
 
+def test_learner_follows_the_slope_of_what_is_scored(small):
+    enc, own, vocab = lm.encoder(small[30].ranks.value), small[30].lexicon.value, small[30].model.vocab
+    text = own.texts(enc, *lm._words(lm.pa.array([words(random.Random(k), 40) for k in range(6)], lm.pa.large_string())))
+    assert len(text.ids) <= lm.BATCH * lm.STRIDE
+    learner, ask = lm.Learner(lm.first_weights()), lm.asked(text) > 0
+    learner.learn(vocab, text, rate=0.0)
+    for name in lm.NAMES:
+        slope = learner.m[name] / 0.1
+        size = float(np.sqrt((slope.astype(np.float64) ** 2).sum()))
+        loss = []
+        for step in (0.02, -0.02):
+            moved = {k: x + np.float32(step / size) * slope if k == name else x for k, x in learner.w.items()}
+            loss.append(-np.log(lm.Model(moved, vocab).attention(text)[0][ask]).mean())
+        assert abs((loss[0] - loss[1]) / 0.04 / size - 1) < 0.05, name
+
+
 def test_asked():
     text = lm.Tokens(np.arange(8), np.array([0, 5, 8]), np.array([0, 2, 4, 5, 7, 8]), np.array([1.0, 9.0, 20.0, -1.0, 20.0]), np.array([0, 3, 5]))
     # Words: seen once (two tokens), known (two), end; new text: unseen (two), end.
