@@ -231,3 +231,28 @@ def test_rounds_train_on_every_word():
         got, at, silent = lm.runs(lm.pa.array(text, lm.pa.large_string()), np.array([0, len(text)]), turn)
         asked += [w for w, quiet in zip(got.to_pylist(), silent) if not quiet]
     assert sorted(asked) == sorted(text)
+
+
+def test_codes_read_back_as_the_texts(spark, docs, small):  # noqa: F811
+    """Words are split and looked up once; what the later passes read gives the same tokens as the texts do."""
+    p, enc = small[30], lm.encoder(small[30].ranks.value)
+    text = {}
+    for r in p.rows.collect():
+        text.setdefault(r["doc_id"], []).append(r["text"])
+    rows = p.codes[1].collect()
+    assert p.codes[0] is p.lexicon and len(rows) == docs.count() == sum(map(len, text.values()))
+    table = lm.pa.table({"codes": lm.pa.array([bytes(r["codes"]) for r in rows], lm.pa.binary()), "new": lm.pa.array([r["new"] for r in rows], lm.pa.list_(lm.pa.string()))})
+    seen = 0
+    for part, codes, new, first in lm.read_codes(table.combine_chunks().to_batches()[0], p.lexicon.value, 1000):
+        got = p.lexicon.value.tokens(enc, codes, new, first)
+        for d in range(part.num_rows):
+            own = [lm._lower(lm.pa.array([t]))[0].as_py().encode().split() for t in text[rows[seen]["doc_id"]]]
+            lo, hi = first[d : d + 2]
+            names = [*p.lexicon.value.words.to_pylist(), *new.to_pylist()]
+            mine = [names[c] for c in codes[lo:hi]]
+            assert [w.encode() for w in mine] in own
+            spelled = [i for w in mine for i in enc.words([w])[0].tolist()]
+            assert got.ids[got.first[d] : got.first[d + 1]].tolist() == [*spelled, enc.end]
+            assert [w for w in mine if w not in p.lexicon.value.words.to_pylist()] == rows[seen]["new"]
+            seen += 1
+    assert seen == len(rows) and any(r["new"] for r in rows)
